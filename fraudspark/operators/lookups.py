@@ -46,7 +46,7 @@ def user_history(
     grouped in blocks of ``limit``: an anchor meets two blocks of its account at most, however
     long the account's history is.
 
-    ``anchors``: txn_id, user_id, ts_ms, n_before. ``rows``: PUBLIC_FIELDS, row_no, and
+    ``anchors``: txn_id, user_id, device_id, merchant_id, ts_ms, n_before. ``rows``: PUBLIC_FIELDS, row_no, and
     model_score (null where the row was not scored).
     """
     if not 1 <= hours <= 1440:
@@ -60,6 +60,8 @@ def user_history(
             F.col("txn_id").alias("case_txn_id"),
             "user_id",
             F.col("ts_ms").alias("anchor_ms"),
+            F.col("device_id").alias("anchor_device_id"),
+            F.col("merchant_id").alias("anchor_merchant_id"),
             first.alias("first_no"),
             F.col("n_before").alias("last_no"),
         )
@@ -145,11 +147,9 @@ def merchant_facts(txns: DataFrame, cutoff_ms: Column) -> DataFrame:
             "confirmed_fraud_rate"
         ),
     )
-    median = exact_quantiles(resolved, ["merchant_id"], "amount", {"median_amount": 0.5})
-    return facts.join(
-        median.withColumn("median_amount", half_up(F.col("median_amount"), 4)),
-        "merchant_id",
-    )
+    name = "merchant_median_amount"
+    median = exact_quantiles(resolved, ["merchant_id"], "amount", {name: 0.5})
+    return facts.join(median.withColumn(name, half_up(F.col(name), 4)), "merchant_id")
 
 
 def merchant_asof(
@@ -285,9 +285,8 @@ def similar_cases(
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matrix, known = shared.value
         for pdf in batches:
-            if pdf.empty or top == 0:
-                continue
-            for part in np.array_split(pdf, -(-len(pdf) // 512)):
+            for start in range(0, len(pdf) if top else 0, 512):
+                part = pdf.iloc[start : start + 512]
                 x = unit(part[FEATURES].to_numpy(dtype=float))
                 sims = np.round(x @ matrix.T, 9)
                 # Stable order: bank rows are sorted by txn_id.

@@ -175,6 +175,13 @@ FEATURE_LOG = T.StructType(
         *FEATURE_FIELDS,
     ]
 )
+FEATURE_LOG_TABLE = T.StructType(
+    [
+        *FEATURE_LOG.fields,
+        T.StructField("day", T.IntegerType()),
+        T.StructField("hour", T.IntegerType()),
+    ]
+)
 
 EVAL_CASE = T.StructType(
     [

@@ -16,8 +16,8 @@ from fraudspark.functions.scalar import (
     speed_kmh,
     weekday_local,
 )
-from fraudspark.operators.caps import apply_set_caps
-from fraudspark.operators.skew import DEFAULT, SkewPolicy, find_hot
+from fraudspark.operators.caps import SETS, apply_set_caps, survey
+from fraudspark.operators.skew import DEFAULT, SkewPolicy
 from fraudspark.operators.windows import device_history, user_history
 from fraudspark.schemas import (
     DEFAULT_CATEGORY_RISK,
@@ -116,14 +116,15 @@ def state_frame(
     ``set_caps`` replays the accounts and devices whose device, merchant or user sets
     overflow, so that evicted members count as new again.
     """
-    hot_devices = find_hot(txns, "device_id", policy)
-    hot_users = find_hot(txns, "user_id", policy)
-    state = device_history(txns, hot_devices, policy)
-    if hot_users.hot_keys is not None:
+    sets = SETS if set_caps else []
+    devices = survey(txns, "device_id", policy, sets)
+    accounts = survey(txns, "user_id", policy, sets)
+    state = device_history(txns, devices.split, policy)
+    if accounts.split.hot_keys is not None:
         # Both branches of the split read it; without this they would both compute it.
         state = stage(state, "device-state")
-    state = user_history(state, hot_users, policy)
-    return apply_set_caps(state, txns, policy) if set_caps else state
+    state = user_history(state, accounts.split, policy)
+    return apply_set_caps(state, txns, {**accounts.overflow, **devices.overflow})
 
 
 def feature_frame(

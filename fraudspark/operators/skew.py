@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,24 +41,32 @@ class Split:
         )
 
 
-def find_hot(df: DataFrame, key: str, policy: SkewPolicy = DEFAULT) -> Split:
-    """Counts the keys; partial aggregation keeps this cheap under skew. The number of hot
-    keys is at most rows / hot_rows; it is counted before it is broadcast."""
-    keys = (
-        df.groupBy(key)
-        .agg(
-            F.count("*").alias("key_rows"),
-            F.min("ts_ms").alias("key_lo"),
-            F.max("ts_ms").alias("key_hi"),
-        )
-        .where(F.col("key_rows") > policy.hot_rows)
+def key_sizes(df: DataFrame, key: str, more: list[Column] = ()) -> DataFrame:
+    """Rows and time span per key; partial aggregation keeps this cheap under skew."""
+    return df.groupBy(key).agg(
+        F.count("*").alias("key_rows"),
+        F.min("ts_ms").alias("key_lo"),
+        F.max("ts_ms").alias("key_hi"),
+        *more,
     )
-    found = keys.limit(policy.broadcast_keys + 1).count()
+
+
+def hot_split(sizes: DataFrame, key: str, found: int, policy: SkewPolicy) -> Split:
+    """``found`` is the counted number of hot keys, at most rows / hot_rows."""
     if found == 0:
         return Split(key, None)
+    keys = sizes.where(F.col("key_rows") > policy.hot_rows).select(
+        key, "key_rows", "key_lo", "key_hi"
+    )
     return Split(key, F.broadcast(keys) if found <= policy.broadcast_keys else keys)
 
 
+def find_hot(df: DataFrame, key: str, policy: SkewPolicy = DEFAULT) -> Split:
+    sizes = key_sizes(df, key)
+    found = sizes.where(F.col("key_rows") > policy.hot_rows).count()
+    return hot_split(sizes, key, found, policy)
+
+
 def chunked(
     hot: DataFrame,
     key: str,

@@ -37,7 +37,8 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     half_lat = F.sin((p2 - p1) / 2)
     half_lon = F.sin(F.radians(lon2 - lon1) / 2)
     a = half_lat * half_lat + F.cos(p1) * F.cos(p2) * half_lon * half_lon
-    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    # A null place must stay null: ``least`` would turn it into half the globe.
+    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))
 
 
 def local_ms(ts_ms: Column) -> Column:
@@ -66,9 +67,9 @@ def age_days(later_ms: Column, earlier_ms: Column) -> Column:
 
 def gap_seconds(ts_ms: Column, prev_ms: Column) -> Column:
     """Seconds since the previous event, between 0 and 30 days; 30 days when there is none."""
-    return F.coalesce(
-        clamp((ts_ms - prev_ms) / F.lit(1000.0), 0.0, MAX_GAP_SECONDS),
-        F.lit(MAX_GAP_SECONDS),
+    # least and greatest skip nulls, so the missing case comes first.
+    return F.when(prev_ms.isNull(), F.lit(MAX_GAP_SECONDS)).otherwise(
+        clamp((ts_ms - prev_ms) / F.lit(1000.0), 0.0, MAX_GAP_SECONDS)
     )
 
 

@@ -271,10 +271,11 @@ CTES: dict[str, str] = {
        FROM s1""",
     "s2": f"""SELECT d.*, u.home_city, u.account_created_ms, m.created_ms AS merchant_created_ms,
        m.category_risk AS merchant_risk,
-       coalesce(least(2592000e0, greatest(0e0, (ts_ms - prev_ms) / 1000e0)), 2592000e0) AS gap,
-       coalesce(2 * 6371e0 * asin(sqrt(least(1e0,
+       CASE WHEN prev_ms IS NULL THEN 2592000e0
+         ELSE least(2592000e0, greatest(0e0, (ts_ms - prev_ms) / 1000e0)) END AS gap,
+       CASE WHEN prev_lat IS NULL THEN 0e0 ELSE 2 * 6371e0 * asin(sqrt(least(1e0,
          pow(sin(radians(lat - prev_lat) / 2), 2) + cos(radians(prev_lat)) * cos(radians(lat))
-         * pow(sin(radians(lon - prev_lon) / 2), 2)))), 0e0) AS dist,
+         * pow(sin(radians(lon - prev_lon) / 2), 2)))) END AS dist,
        ((ts_ms + 19800000) % {DAY}) / 3600000e0 AS hour_local,
        ((ts_ms + 19800000) // {DAY} + 3) % 7 AS weekday
        FROM s1d d LEFT JOIN users u ON u.user_id = d.user_id

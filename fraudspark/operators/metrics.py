@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fraudspark.operators.ranks import running_sums
+from fraudspark.sources.staging import stage
 
 DEFAULT_THRESHOLD = 0.5
 ULP = 2.220446049250313e-16
@@ -104,42 +105,21 @@ def metrics_at_threshold(
     )
 
 
-def recall_at_fprs(
-    df: DataFrame, fprs: dict[str, float], by: list[str] | None = None
-) -> DataFrame:
-    """One row per (by, fpr) with its threshold and metrics."""
-    by = by or []
-    counts = score_counts(df, by)
-    thresholds = counts.groupBy(*by).agg(
-        *[_threshold(v).alias(f"_t{i}") for i, v in enumerate(fprs.values())]
-    )
-    long = thresholds.select(
-        *by,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(k).alias("target"),
-                        F.lit(v).alias("target_fpr"),
-                        F.col(f"_t{i}").alias("threshold"),
-                    )
-                    for i, (k, v) in enumerate(fprs.items())
-                ]
-            )
-        ).alias("t"),
-    ).select(*by, "t.*")
-    # Counted over distinct scores; a handful of thresholds is the other side.
+def _outcomes(counts: DataFrame, thresholds: DataFrame, by: list[str]) -> DataFrame:
+    """Metrics per row of ``thresholds`` (group columns, ``threshold`` and others), summed over
+    distinct scores. A group has a handful of thresholds."""
     key = by or ["_one"]
     left = counts if by else counts.withColumn("_one", F.lit(1))
-    right = long if by else long.withColumn("_one", F.lit(1))
+    right = thresholds if by else thresholds.withColumn("_one", F.lit(1))
+    names = [c for c in thresholds.columns if c not in by]
     hit = F.col("score") >= F.col("threshold")
 
     def n(c: str, cond: Column) -> Column:
         return F.sum(F.when(cond, F.col(c)).otherwise(0)).cast("long")
 
-    out = (
+    return with_rates(
         left.join(F.broadcast(right), key)
-        .groupBy(*by, "target", "target_fpr", "threshold")
+        .groupBy(*by, *names)
         .agg(
             n("pos", hit).alias("tp"),
             n("neg", hit).alias("fp"),
@@ -147,7 +127,30 @@ def recall_at_fprs(
             n("neg", ~hit).alias("tn"),
         )
     )
-    return with_rates(out)
+
+
+def _recalls(counts: DataFrame, fprs: dict[str, float], by: list[str]) -> DataFrame:
+    thresholds = counts.groupBy(*by).agg(
+        *[_threshold(v).alias(f"_t{i}") for i, v in enumerate(fprs.values())]
+    )
+    targets = F.array(
+        *[
+            F.struct(
+                F.lit(k).alias("target"),
+                F.lit(v).alias("target_fpr"),
+                F.col(f"_t{i}").alias("threshold"),
+            )
+            for i, (k, v) in enumerate(fprs.items())
+        ]
+    )
+    return _outcomes(counts, thresholds.select(*by, F.inline(targets)), by)
+
+
+def recall_at_fprs(
+    df: DataFrame, fprs: dict[str, float], by: list[str] | None = None
+) -> DataFrame:
+    """One row per (by, fpr) with its threshold and metrics."""
+    return _recalls(score_counts(df, by), fprs, by or [])
 
 
 def roc_auc(df: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -186,7 +189,8 @@ def model_summary(
 
     ``thresholds`` has the group columns and ``threshold``, one row per group.
     """
-    counts = score_counts(df, by)
+    # Everything below reads the counts per distinct score, not the rows.
+    counts = stage(score_counts(df, by), "score-counts")
     overall = counts.groupBy(*by).agg(
         _roc_auc().alias("roc_auc"),
         _average_precision().alias("pr_auc"),
@@ -194,22 +198,21 @@ def model_summary(
         F.max("pos_total").cast("long").alias("positives"),
     )
     overall = overall.withColumn("base_rate", F.col("positives") / F.col("n"))
-    at = recall_at_fprs(df, REPORTED_FPRS, by)
-    recalls = at.groupBy(*by).agg(
-        *[
-            F.max(F.when(F.col("target") == k, F.col("recall"))).alias(name)
-            for k, name in zip(
-                REPORTED_FPRS, ["recall_at_0_5pct", "recall_at_1pct", "recall_at_2pct"]
-            )
-        ]
-    )
-    point = metrics_at_threshold(
-        df.join(F.broadcast(thresholds), by), F.col("threshold"), by
+    names = ["recall_at_0_5pct", "recall_at_1pct", "recall_at_2pct"]
+    recalls = (
+        _recalls(counts, REPORTED_FPRS, by)
+        .groupBy(*by)
+        .agg(
+            *[
+                F.max(F.when(F.col("target") == k, F.col("recall"))).alias(name)
+                for k, name in zip(REPORTED_FPRS, names)
+            ]
+        )
     )
     per_day = days if isinstance(days, Column) else F.lit(float(days))
     return (
         overall.join(recalls, by)
-        .join(point, by)
+        .join(_outcomes(counts, thresholds, by), by)
         .withColumn(
             "alerts_per_day", F.col("alerts") / F.greatest(per_day, F.lit(1e-9))
         )

@@ -25,7 +25,7 @@ from fraudspark.plans import investigation as I
 from fraudspark.plans import oracle as O
 from fraudspark.plans.models import CHALLENGER, CHAMPION
 from fraudspark.sources import adapter, tables as TB
-from fraudspark.sources.staging import new_path
+from fraudspark.sources.staging import new_path, stage
 
 c = F.col
 Query = Callable[[SparkSession, str], DataFrame]
@@ -679,10 +679,13 @@ def three_models(x: Ctx) -> DataFrame:
         F.struct(F.lit(CHAMPION.version).alias("model"), c("score").alias("score")),
         F.struct(F.lit(CHALLENGER.version).alias("model"), c("score2").alias("score")),
     )
-    split = SA.time_split(
-        s.select("ts_ms", "is_fraud", "fraud_type", "context", F.inline(models)), 7, 7, 7
+    rows = s.select("ts_ms", "is_fraud", "fraud_type", "context", F.inline(models))
+    bounds = SA.window_bounds(x.txns.select("ts_ms"), 7, 7, 7)
+    split = rows.withColumn("label", c("is_fraud").cast("int")).withColumn(
+        "split", SA.split_label(c("ts_ms"), bounds.select(F.struct("*")).scalar())
     )
-    return split.withColumn("label", c("is_fraud").cast("int"))
+    # Thresholds and metrics read it separately; features behind it are computed once.
+    return stage(split, "model-scores")
 
 
 def part(models: DataFrame, split: str) -> DataFrame:
@@ -779,7 +782,8 @@ def _(x: Ctx):
     ["mean", "std"],
 )
 def _(x: Ctx):
-    train = SA.time_split(x.features(), 7, 7, 7).where("split = 'train'")
+    w = I.window_of(x.txns, 7, 7, 7)
+    train = x.features().where((c("ts_ms") >= w.train_start) & (c("ts_ms") < w.val_start))
     return M.feature_stats(train, S.FEATURES)
 
 
@@ -890,7 +894,8 @@ def _(x: Ctx):
        CASE WHEN max_psi < 0.1 THEN 'stable' WHEN max_psi < 0.2 THEN 'watch' ELSE 'shifted' END
          AS status, max_psi >= 0.2 AS drift_detected
        FROM (SELECT count(*) AS rows FROM decisions) r,
-       (SELECT max(psi) AS max_psi, arg_max(feature, psi) AS max_feature,
+       (SELECT max(psi) AS max_psi, arg_max(feature, {'p': floor(psi * 1e9), 'o':
+            -list_position(""" + O.name_list(P.ORDER) + """, feature)}) AS max_feature,
           coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (WHERE psi >= 0.2), '')
             AS shifted_features FROM psi) w""",
     ["max_psi"],

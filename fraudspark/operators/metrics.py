@@ -1,7 +1,8 @@
 """Classifier metrics as Spark aggregates.
 
-All functions take rows with a boolean or 0/1 ``label`` and a double ``score``, and an
-optional list of group columns, so several models are measured in one job.
+All functions take rows with a 0/1 ``label`` and a double ``score``, and an optional list of
+group columns, so several models are measured in one job. Groups are models, not keys of the
+data: some dozens at most.
 """
 
 from __future__ import annotations
@@ -17,14 +18,6 @@ ULP = 2.220446049250313e-16
 REPORTED_FPRS = {"0.500%": 0.005, "1.000%": 0.01, "2.000%": 0.02}
 
 
-def label_and_score(df: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
-    return df.select(
-        *by,
-        F.col(label).cast("int").alias("label"),
-        F.col(score).cast("double").alias("score"),
-    )
-
-
 def score_counts(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Positives and negatives per distinct score, with running sums below it."""
     return running_sums(
@@ -32,6 +25,7 @@ def score_counts(df: DataFrame, by: list[str] | None = None) -> DataFrame:
         by or [],
         "score",
         {"pos": F.col("label"), "neg": F.lit(1) - F.col("label")},
+        few_groups=True,
     )
 
 

@@ -19,11 +19,21 @@ def _bucket(value: Column, lo: Column, hi: Column) -> Column:
 
 
 def running_sums(
-    df: DataFrame, by: list[str], value: str, weights: dict[str, Column]
+    df: DataFrame,
+    by: list[str],
+    value: str,
+    weights: dict[str, Column],
+    few_groups: bool = False,
 ) -> DataFrame:
     """One row per (by, value) with the sum of each weight, its sum over strictly smaller
-    values as ``<name>_below`` and over the group as ``<name>_total``."""
+    values as ``<name>_below`` and over the group as ``<name>_total``.
+
+    ``few_groups`` states that there are at most some dozens of groups (features, models); a
+    missing ``by`` is one group. The helper tables then have at most BUCKETS rows per group and
+    are broadcast, so that counted values are not shuffled by a handful of keys.
+    """
     keys = by or ["_all"]
+    small = F.broadcast if few_groups or not by else (lambda table: table)
     src = df if by else df.withColumn("_all", F.lit(0))
     names = list(weights)
     counted = src.groupBy(*keys, value).agg(
@@ -34,7 +44,7 @@ def running_sums(
         F.max(value).alias("_hi"),
         *[F.sum(n).alias(f"{n}_total") for n in names],
     )
-    placed = counted.join(span, keys).withColumn(
+    placed = counted.join(small(span), keys).withColumn(
         "_b", _bucket(F.col(value).cast("double"), F.col("_lo"), F.col("_hi"))
     )
     earlier = (
@@ -59,7 +69,7 @@ def running_sums(
         .orderBy(value)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    out = placed.join(base, [*keys, "_b"]).withColumns(
+    out = placed.join(small(base), [*keys, "_b"]).withColumns(
         {
             f"{n}_below": F.col(f"_base_{n}")
             + F.coalesce(F.sum(n).over(inside), F.lit(0))

@@ -13,14 +13,18 @@ BANK_SIZE = 4000
 def window_bounds(
     df: DataFrame, burn_in_days: float, val_days: float, test_days: float
 ) -> DataFrame:
-    """One row: train_start, val_start, test_start, end (all in ms), from the exact time span."""
+    """One row: train_start, val_start, test_start, end, from the exact time span.
+
+    Starts are whole milliseconds, rounded up: comparing times with them gives the same rows,
+    and a filter on long values reaches the Parquet scan.
+    """
     day = float(DAY_MS)
-    return (
-        df.agg(F.min("ts_ms").alias("lo"), F.max("ts_ms").alias("end"))
-        .withColumn("test_start", F.col("end") - F.lit(test_days * day))
-        .withColumn("val_start", F.col("test_start") - F.lit(val_days * day))
-        .withColumn("train_start", F.col("lo") + F.lit(burn_in_days * day))
-        .select("train_start", "val_start", "test_start", "end")
+    lo, end = F.col("lo"), F.col("end")
+    return df.agg(F.min("ts_ms").alias("lo"), F.max("ts_ms").alias("end")).select(
+        F.ceil(lo + F.lit(burn_in_days * day)).alias("train_start"),
+        F.ceil(end - F.lit((test_days + val_days) * day)).alias("val_start"),
+        F.ceil(end - F.lit(test_days * day)).alias("test_start"),
+        "end",
     )
 
 

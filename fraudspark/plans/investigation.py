@@ -17,7 +17,7 @@ from fraudspark.operators.metrics import feature_stats
 from fraudspark.operators.sampling import case_bank, window_bounds
 from fraudspark.operators.scoring import LinearModel, batch_score
 from fraudspark.operators.skew import DEFAULT, SkewPolicy
-from fraudspark.schemas import FEATURES, PUBLIC_FIELDS
+from fraudspark.schemas import FEATURES, HOUR_MS, PUBLIC_FIELDS
 from fraudspark.sources.adapter import Tables
 from fraudspark.sources.staging import stage
 
@@ -34,10 +34,10 @@ SHADOWED = {"is_online": "online"}
 
 @dataclass(frozen=True)
 class Window:
-    train_start: float
-    val_start: float
-    test_start: float
-    end: float
+    train_start: int
+    val_start: int
+    test_start: int
+    end: int
 
 
 def window_of(df: DataFrame, burn_in: float, val: float, test: float) -> Window:
@@ -125,9 +125,10 @@ def prepare(
 
 
 def history(work: CaseWork, anchors: DataFrame) -> DataFrame:
-    return L.user_history(
-        anchors, work.history_rows(), L.HISTORY_HOURS, L.HISTORY_LIMIT
-    )
+    # No event of the live window looks further back than this.
+    oldest = work.window.test_start - L.HISTORY_HOURS * HOUR_MS
+    rows = work.history_rows().where(F.col("ts_ms") >= oldest)
+    return L.user_history(anchors, rows, L.HISTORY_HOURS, L.HISTORY_LIMIT)
 
 
 def merchant_facts(work: CaseWork) -> DataFrame:

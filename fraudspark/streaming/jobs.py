@@ -26,13 +26,14 @@ TXN_COLUMNS = [
 
 
 def event_stream(
-    spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None
+    spark: SparkSession, sf_dir: str, bytes_per_trigger: str = "512m"
 ) -> DataFrame:
-    """The event table as a stream of wire rows; ``files_per_trigger`` bounds a micro-batch."""
+    """The event table as a stream of wire rows. ``bytes_per_trigger`` bounds a micro-batch, and
+    with it what one task holds of a hot key at a time."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    reader = spark.readStream.schema(adapter.EVENT_SCHEMA)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    reader = spark.readStream.schema(adapter.EVENT_SCHEMA).option(
+        "maxBytesPerTrigger", bytes_per_trigger
+    )
     # A pattern serves a single file as well as a folder of files.
     events = reader.parquet(f"{sf_dir}/events.parquet*")
     customer = adapter.read(spark, sf_dir, "customer", adapter.CUSTOMER_SCHEMA)

@@ -26,7 +26,7 @@ TXN_COLUMNS = [
 
 
 def event_stream(
-    spark: SparkSession, sf_dir: str, bytes_per_trigger: str = "512m"
+    spark: SparkSession, sf_dir: str, bytes_per_trigger: int = 512 * 1024 * 1024
 ) -> DataFrame:
     """The event table as a stream of wire rows. ``bytes_per_trigger`` bounds a micro-batch, and
     with it what one task holds of a hot key at a time."""

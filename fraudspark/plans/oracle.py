@@ -10,15 +10,12 @@ from __future__ import annotations
 import re
 
 from fraudspark.operators import decide as D
-from fraudspark.operators.metrics import LATENCY_BUCKETS_MS
 from fraudspark.operators.scoring import LinearModel
 from fraudspark.plans.models import CHALLENGER, CHAMPION
 from fraudspark.schemas import (
     CATEGORIES,
     CATEGORY_RISK,
     FEATURES,
-    LABEL_COLUMNS,
-    WIRE_COLUMNS,
 )
 
 DAY = 86400000

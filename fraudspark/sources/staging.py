@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CONF = "spark.checkpoint.dir"
-_local_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session. Only a local-mode session without one gets a
-    temporary folder; on a cluster a machine-local folder would be lost with the machine."""
-    global _local_dir
+    """``spark.checkpoint.dir`` of the session; where it is unset, a folder in the warehouse."""
     configured = spark.conf.get(CONF, None) or spark.sparkContext.getConf().get(CONF)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CONF} to a folder that all executors share")
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="fraudspark-")
-    return _local_dir
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged").rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -10,8 +10,10 @@ from fraudspark.llm.common import documents
 from fraudspark.llm.decontaminate import contamination
 from fraudspark.llm.hosts import HOST_RULES_SQL, host_rules
 from fraudspark.llm.mixing import mix
+from fraudspark.llm.repeats import REPEATS_SQL, repeated_passages
 from fraudspark.llm.secrets import secret_spans
 from fraudspark.llm.sharding import byte_shards
+from fraudspark.llm.tokens import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +24,19 @@ def query(f: Callable[[SparkSession, str], DataFrame]):
     return f
 
 
+@query
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir))
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(documents(spark, sf_dir))
+
+
+ORACLES["op2_substring_dedup"] = REPEATS_SQL
+
+
 @query
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(documents(spark, sf_dir))

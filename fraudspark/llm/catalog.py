@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from fraudspark.llm.common import documents
 from fraudspark.llm.decontaminate import contamination
 from fraudspark.llm.hosts import HOST_RULES_SQL, host_rules
+from fraudspark.llm.jaccard import similar_documents, similar_sql
+from fraudspark.llm.language import languages, train
+from fraudspark.llm.licenses import license_report
 from fraudspark.llm.mixing import mix
 from fraudspark.llm.repeats import REPEATS_SQL, repeated_passages
 from fraudspark.llm.secrets import secret_spans
@@ -50,11 +54,30 @@ def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op4_host_rules"] = HOST_RULES_SQL
 
 
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return languages(docs, train(docs))
+
+
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(documents(spark, sf_dir))
+
+
 @query
 def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_shards(documents(spark, sf_dir))
 
 
+@query
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(documents(spark, sf_dir))
+
+
+ORACLES["op8_jaccard_join"] = similar_sql()
+
+
 @query
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
@@ -65,3 +88,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(
         documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     )
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fraudspark.sources.staging import stage
+
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SLICE_BYTES = 2_000_000
 LONG_WORD = 1 << 12
@@ -32,6 +34,21 @@ def text_of(df: DataFrame, name: str = "text") -> Column:
     return F.coalesce(df[name].cast("string"), F.lit(""))
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """``key`` (a unique long in the order of ids), ``id`` and ``text``; and whether keys are not
+    the ids themselves. Ids that are null, repeated or no integers are numbered in order of id and
+    text, null first; the numbered rows are written, so that a rerun cannot number them anew."""
+    ids = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    whole_numbers = dict(ids.dtypes)["id"] in ("tinyint", "smallint", "int", "bigint")
+    if whole_numbers and not (
+        ids.groupBy("id").count().where("id IS NULL OR count > 1").limit(1).count()
+    ):
+        return ids.withColumn("key", F.col("id").cast("long")), False
+    order = [F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first()]
+    ranged = ids.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stage(ranged.withColumn("key", F.monotonically_increasing_id()), "keyed"), True
+
+
 @dataclass
 class Slice:
     """Rows ``lo`` to ``hi`` of a batch: their bytes, and where each text starts and ends."""
@@ -169,3 +186,29 @@ def whole(w: Words, k: int) -> np.ndarray:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+#: Keys that a broadcast may hold: 8 bytes each, and what a hash table adds.
+KEYS = 500_000
+
+
+def numbered(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """The rows with a unique long key: their id where ids are integers, not null and unique, else
+    a number written with the rows. Gives the key's name, which no column has."""
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
+    whole_numbers = dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint")
+    if whole_numbers:
+        odd = docs.groupBy(docs[id_col].alias("i")).agg(F.count("*").alias("c"))
+        if not odd.where("i IS NULL OR c > 1").limit(1).count():
+            return docs.withColumn(key, docs[id_col].cast("long")), key
+    order = [F.col(id_col).asc_nulls_first(), F.col("text").asc_nulls_first()]
+    ranged = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stage(ranged.withColumn(key, F.monotonically_increasing_id()), "numbered"), key
+
+
+def picked(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """A join by key that leaves wide rows where they are while the (written) keys are few, and
+    shuffles them otherwise."""
+    return rows.join(F.broadcast(keys) if keys.count() <= KEYS else keys, key, how)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fraudspark.llm.common import Words, runs, signed, slices, small_batches, words
+from fraudspark.llm.common import Words, keyed, runs, signed, slices, small_batches, words
 from fraudspark.sources.staging import stage
 
 WINDOW, GRAM, GROUP = 20, 6, 500
@@ -236,19 +236,7 @@ def repeated_passages(
     """
     spark = docs.sparkSession
     small_batches(spark)
-    ids = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    odd = ids.groupBy("id").count().where("id IS NULL OR count > 1").limit(1).count()
-    renamed = odd or dict(ids.dtypes)["id"] not in ("tinyint", "smallint", "int", "bigint")
-    if renamed:
-        order = [F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-        ids = stage(
-            ids.repartitionByRange(*order)
-            .sortWithinPartitions(*order)
-            .withColumn("key", F.monotonically_increasing_id()),
-            "repeat-ids",
-        )
-    else:
-        ids = ids.withColumn("key", F.col("id").cast("long"))
+    ids, renamed = keyed(docs, id_col, text_col)
     texts = ids.select("key", "text")
     counts = (
         texts.select("text")
@@ -257,6 +245,7 @@ def repeated_passages(
         .agg(F.sum("n").alias("n"))
         .where("n > 1")
     )
+    counts = stage(counts, "repeat-counts")  # so that the join below can split a hot anchor
     places = texts.mapInArrow(_places(window, gram), "h long, key long, place int")
     repeated = (
         places.join(counts, "h")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from fraudspark.sources.staging import stage
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 LONG_WORD = 1 << 12
 U64 = np.uint64
 
@@ -27,7 +27,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Texts are wide rows: batches of Spark's default 10,000 are made smaller, others kept."""
     if spark.conf.get(BATCH) == "10000":
-        spark.conf.set(BATCH, "1000")
+        spark.conf.set(BATCH, "256")
 
 
 def text_of(df: DataFrame, name: str = "text") -> Column:

@@ -21,14 +21,16 @@ from fraudspark.llm.common import Slice, keyed, mix64, picked, runs, signed, sli
 from fraudspark.llm.components import components
 from fraudspark.sources.staging import stage
 
-SHINGLE, PERCENT, GROUPS = 4, 85, 64
+SHINGLE, PERCENT, GROUPS = 4, 85, 256
+FULL = 255
+DOCS = 1 << 12
 HOT, MOST_HOT = 1000, 1 << 16
 LEAF = 16
 
 
 def _sets(s: Slice, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Text and hash of all distinct shingles, in order of both. A text of fewer than ``k`` words
-    has its whole sequence as one."""
+    """Text and token (52 bits of hash) of all distinct shingles, in order of both. A text of fewer
+    than ``k`` words has its whole sequence as one."""
     w = words(s, lower=True)
     n = w.counts
     doc = w.doc()
@@ -37,14 +39,20 @@ def _sets(s: Slice, k: int) -> tuple[np.ndarray, np.ndarray]:
     docs, hashes = [doc[at]], [runs(w.hash, k)[at]]
     for size in range(1, k):
         few = np.flatnonzero(n == size)
-        docs.append(few)
-        hashes.append(runs(w.hash, size)[w.first[few]] if len(few) else np.zeros(0, np.uint64))
+        if len(few):
+            docs.append(few)
+            hashes.append(runs(w.hash, size)[w.first[few]])
     d, h = np.concatenate(docs), np.concatenate(hashes)
-    order = np.lexsort((h, d))
-    d, h = d[order], h[order]
-    new = np.ones(len(d), bool)
-    new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
-    return d[new], h[new]
+    if len(docs) > 1:
+        order = np.argsort(d, kind="stable")
+        d, h = d[order], h[order]
+    out = []
+    for lo in range(0, len(n), DOCS):  # one number holds the text's and the token's
+        a, b = np.searchsorted(d, [lo, lo + DOCS])
+        packed = np.sort(((d[a:b] - lo).astype(np.uint64) << np.uint64(52)) | (h[a:b] >> np.uint64(12)))
+        packed = packed[np.append(True, packed[1:] != packed[:-1])] if len(packed) else packed
+        out.append(((packed >> np.uint64(52)).astype(np.int64) + lo, packed & np.uint64((1 << 52) - 1)))
+    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
 def _need(n: np.ndarray, percent: int) -> np.ndarray:
@@ -54,11 +62,12 @@ def _need(n: np.ndarray, percent: int) -> np.ndarray:
 
 def _prefixes(d: np.ndarray, h: np.ndarray, n: np.ndarray, hot: np.ndarray, percent: int):
     """Places of each set's first tokens: by hash, hot ones last."""
-    late = np.isin(h, hot) if len(hot) else np.zeros(len(h), bool)
-    order = np.lexsort((h, late, d))
-    d2 = d[order]
-    rank = np.arange(len(d)) - np.searchsorted(d2, d2)
-    return order[rank < (n - _need(n, percent) + 1)[d2]]
+    ends = np.searchsorted(d, np.arange(len(n) + 1))
+    rank = np.arange(len(d)) - np.repeat(ends[:-1], np.diff(ends))
+    order = np.arange(len(d))
+    if len(hot) and (late := np.isin(h, hot)).any():
+        order = np.argsort(2 * d + late, kind="stable")
+    return order[rank < np.repeat(n - _need(n, percent) + 1, np.diff(ends))]
 
 
 def _points(k: int, groups: int):
@@ -69,13 +78,16 @@ def _points(k: int, groups: int):
                 size = s.hi - s.lo
                 d, h = _sets(s, k)
                 n = np.bincount(d, minlength=size)
-                cell = d * groups + (h >> np.uint64(40)).astype(np.int64) % groups
-                vec = np.bincount(cell, minlength=size * groups).astype(np.uint32)
+                cell = d * groups + (mix64(h) >> np.uint64(40)).astype(np.int64) % groups
+                vec = np.minimum(np.bincount(cell, minlength=size * groups), FULL).astype(np.uint8)
                 f1, f2 = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
-                np.add.at(f1, d, mix64(h))
-                np.add.at(f2, d, mix64(h ^ np.uint64(0x5851F42D4C957F2D)))
+                if len(d):
+                    some = np.flatnonzero(n)
+                    cuts = np.cumsum(n)[some] - n[some]
+                    f1[some] = np.add.reduceat(mix64(h), cuts)
+                    f2[some] = np.add.reduceat(mix64(h ^ np.uint64(0x5851F42D4C957F2D)), cuts)
                 raw = vec.tobytes()
-                width = groups * 4
+                width = groups
                 yield pa.RecordBatch.from_arrays(
                     [
                         keys.slice(s.lo, size),
@@ -116,12 +128,12 @@ def _tokens(k: int, percent: int, hot: np.ndarray):
                 size = s.hi - s.lo
                 n = np.bincount(d, minlength=size)
                 f1 = np.zeros(size, np.uint64)
-                np.add.at(f1, d, mix64(h))
+                if len(d):
+                    some = np.flatnonzero(n)
+                    f1[some] = np.add.reduceat(mix64(h), np.cumsum(n)[some] - n[some])
                 first = _prefixes(d, h, n, hot, percent)
-                cls, token = signed(f1)[d[first]], signed(h[first])
-                _, one = np.unique(np.stack([cls, token]), axis=1, return_index=True) if len(cls) else (0, [])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(token[one]), pa.array(cls[one])], names=["token", "f"]
+                    [pa.array(signed(h[first])), pa.array(signed(f1)[d[first]])], names=["token", "f"]
                 )
 
     return run
@@ -138,7 +150,11 @@ def _reach(most: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _vectors(col: pa.Array) -> np.ndarray:
-    return np.array([np.frombuffer(x.as_buffer(), np.uint32) for x in col]) if len(col) else np.zeros((0, 1), np.uint32)
+    """Points; a full coordinate may stand for more, and bounds nothing."""
+    raw = np.frombuffer(b"".join(col.to_pylist()), np.uint8)
+    v = raw.reshape(len(col), -1 if len(col) else 1).astype(np.uint16)
+    v[v == FULL] = 1 << 15
+    return v
 
 
 def _bounded(percent: int):
@@ -160,7 +176,7 @@ def tree_join(n: np.ndarray, vec: np.ndarray, comp: np.ndarray, percent: int) ->
     Points are packed into leaves in order of size and of their largest-spread coordinates, leaves
     into boxes of ``LEAF``, up to one root. Pairs of boxes go down from (root, root) level by level.
     """
-    wide = np.argsort(-vec.var(axis=0))[:2]
+    wide = np.argsort(-vec.var(axis=0), kind="stable")[:2]
     order = np.lexsort((vec[:, wide[1]], vec[:, wide[0]], n.astype(float).round(-1), n))
     levels = [(n[order], n[order], vec[order])]  # least size, most size, upper corner
     while len(levels[-1][0]) > 1:

@@ -118,9 +118,9 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(b.column(1)):
             counts, letters = _counts(s.data, s.at)
             some = np.flatnonzero(letters > 0)
-            rows = [pa.array(counts[i]).cast(pa.float32()).to_pylist() for i in some]
+            rows = [counts[i].tobytes() for i in some]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(s.lo, s.hi - s.lo).take(pa.array(some)), pa.array(rows, pa.list_(pa.float32()))],
+                [b.column(0).slice(s.lo, s.hi - s.lo).take(pa.array(some)), pa.array(rows, pa.binary())],
                 names=["lang", "counts"],
             )
 
@@ -152,13 +152,14 @@ def train(
         .withColumn("r", F.row_number().over(first))
         .where(F.col("r") <= sample)
         .select("lang", "text")
-        .mapInArrow(_training, "lang string, counts array<float>")
+        .mapInArrow(_training, "lang string, counts binary")
         .collect()
     )
     if not rows:
         return None
-    rows = sorted(rows, key=lambda r: (r.lang, r.counts))
-    return fit(np.array([r.counts for r in rows], np.float32), [r.lang for r in rows])
+    rows = sorted(rows, key=lambda r: (r.lang, bytes(r.counts)))
+    raw = np.frombuffer(b"".join(bytes(r.counts) for r in rows), np.float32)
+    return fit(raw.reshape(len(rows), DIMS), [r.lang for r in rows])
 
 
 def _predict(m: Model | None):

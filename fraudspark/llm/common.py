@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from fraudspark.sources.staging import stage
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
 LONG_WORD = 1 << 12
 U64 = np.uint64
 

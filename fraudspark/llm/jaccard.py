@@ -26,6 +26,7 @@ FULL = 255
 DOCS = 1 << 12
 HOT, MOST_HOT = 1000, 1 << 16
 LEAF = 16
+TILE = 512
 
 
 def _sets(s: Slice, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -251,38 +252,49 @@ def _blocks(percent: int):
 
 
 def _verified(k: int, percent: int):
-    """Exact similarity of the two texts of each pair."""
+    """Exact similarity of the pairs of each tile (rows come in order of tile, its texts first)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, sets = None, {}
         for b in batches:
-            ok = np.zeros(b.num_rows, bool)
-            for s in slices(b.column("text_a")):
-                d, h = _sets(s, k)
-                part = b.column("text_b").slice(s.lo, s.hi - s.lo)
-                ends = np.searchsorted(d, np.arange(s.hi - s.lo + 1))
-                for t in slices(part, 1 << 62):
-                    e, g = _sets(t, k)
-                    other = np.searchsorted(e, np.arange(s.hi - s.lo + 1))
-                for i in range(s.hi - s.lo):
-                    x, y = h[ends[i] : ends[i + 1]], g[other[i] : other[i + 1]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok[s.lo + i] = both and 100 * both >= percent * (len(x) + len(y) - both)
-            keep = pa.array(ok)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("a").filter(keep), b.column("b").filter(keep)], names=["u", "v"]
-            )
+            links = []
+            tiles, keys = b.column("tile").to_pylist(), b.column("key").to_pylist()
+            others, texts = b.column("other").to_pylist(), b.column("text")
+            for i, at in enumerate(tiles):
+                if at != tile:
+                    tile, sets = at, {}
+                if others[i] is None:
+                    (s,) = slices(texts.slice(i, 1))
+                    sets[keys[i]] = _sets(s, k)[1]
+                    continue
+                x, y = sets[keys[i]], sets[others[i]]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    links.append((keys[i], others[i]))
+            u, v = zip(*links, strict=True) if links else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
 
 
 def _links(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs of keys whose sets are similar. Texts of keys in pairs are picked out first, by a
-    broadcast when the keys are few, by a shuffle otherwise."""
+    """Pairs of keys whose sets are similar. Texts of keys in pairs are picked out first. Pairs are
+    dealt to tiles by the hashes of both keys, and a text goes once to each tile that has a pair of
+    it, so that a tile holds at most about twice ``TILE`` texts and many pairs share one."""
     keys = stage(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "pair-keys")
     some = stage(picked(texts, keys, "key", "inner"), "pair-texts")
-    with_a = pairs.join(some.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-    both = with_a.join(some.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-    return stage(both.mapInArrow(_verified(k, percent), "u long, v long"), "links")
+    side = keys.count() // TILE + 1
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
+    tiled = pairs.select((part("a") * side + part("b")).alias("tile"), "a", "b")
+    need = tiled.select("tile", F.col("a").alias("key")).union(tiled.select("tile", "b")).distinct()
+    rows = need.join(some, "key").select("tile", "key", F.lit(None).cast("long").alias("other"), "text")
+    rows = rows.union(tiled.select("tile", "a", "b", F.lit(None).cast("string")))
+    return stage(
+        rows.repartition("tile")
+        .sortWithinPartitions("tile", F.col("other").isNotNull())
+        .mapInArrow(_verified(k, percent), "u long, v long"),
+        "links",
+    )
 
 
 def similar_documents(

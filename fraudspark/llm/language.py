@@ -115,7 +115,7 @@ def fit(counts: np.ndarray, langs: list[str], clusters: int = CLUSTERS) -> Model
 
 def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for s in slices(b.column(1)):
+        for s in slices(b.column(1), 250_000):
             counts, letters = _counts(s.data, s.at)
             some = np.flatnonzero(letters > 0)
             rows = [counts[i].tobytes() for i in some]
@@ -166,7 +166,7 @@ def _predict(m: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lang, score, rejected = [], [], []
-            for s in slices(b.column(1), 1_000_000):
+            for s in slices(b.column(1), 250_000):
                 n = s.hi - s.lo
                 for lo in range(0, n, 256):
                     at = s.at[lo : min(lo + 256, n) + 1]

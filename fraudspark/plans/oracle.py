@@ -237,7 +237,7 @@ CTES: dict[str, str] = {
        (s_suppkey % 2 = 0) AS is_online,
        1704067200000 - (s_suppkey % 900 + 30) * 86400000 AS created_ms,
        ({RISKS})[s_suppkey % 16 + 1] AS category_risk
-       FROM supplier WHERE s_suppkey < 40""",
+       FROM supplier""",
     "s1": f"""SELECT *, is_online AS online,
        row_number() OVER (PARTITION BY user_id ORDER BY ts_ms, txn_id) AS row_no,
        rank() OVER (PARTITION BY user_id ORDER BY ts_ms) - 1 AS n_before,

@@ -123,7 +123,7 @@ def merchants(supplier: DataFrame) -> DataFrame:
         F.array(*[F.lit(r) for r in CATEGORY_RISK.values()]),
         (key % 16).cast("int") + 1,
     )
-    return supplier.where(key < 40).select(
+    return supplier.select(
         F.concat(F.lit("M"), F.lpad(key.cast("string"), 5, "0")).alias("merchant_id"),
         category_name(key % 16).alias("category"),
         F.concat(F.lit("CITY_"), F.col("s_nationkey").cast("string")).alias("city"),

@@ -11,6 +11,7 @@ cannot reach the threshold are dropped, and the pairs left are verified on the s
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from fraudspark.sources.staging import stage
 SHINGLE, PERCENT, GROUPS = 4, 85, 256
 FULL = 255
 DOCS = 1 << 12
-HOT, MOST_HOT = 1000, 1 << 16
+OFTEN, MOST_OFTEN, COUNTED = 8, 1 << 16, 1 << 20
 LEAF = 16
 TILE = 512
 
@@ -61,13 +62,29 @@ def _need(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
-def _prefixes(d: np.ndarray, h: np.ndarray, n: np.ndarray, hot: np.ndarray, percent: int):
-    """Places of each set's first tokens: by hash, hot ones last."""
+@dataclass
+class Frequent:
+    """Frequent tokens in order, and the binary order of magnitude of each one's count."""
+
+    token: np.ndarray
+    level: np.ndarray
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """Level of each token; 0 if it is not frequent."""
+        if not len(self.token):
+            return np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.token, h), len(self.token) - 1)
+        return np.where(self.token[at] == h, self.level[at], 0)
+
+
+def _prefixes(d: np.ndarray, h: np.ndarray, n: np.ndarray, often: Frequent, percent: int):
+    """Places of each set's first tokens: rare ones by hash, then frequent ones by level and hash."""
     ends = np.searchsorted(d, np.arange(len(n) + 1))
     rank = np.arange(len(d)) - np.repeat(ends[:-1], np.diff(ends))
     order = np.arange(len(d))
-    if len(hot) and (late := np.isin(h, hot)).any():
-        order = np.argsort(2 * d + late, kind="stable")
+    level = often.of(h)
+    if level.any():
+        order = np.argsort(64 * d + level, kind="stable")
     return order[rank < np.repeat(n - _need(n, percent) + 1, np.diff(ends))]
 
 
@@ -103,25 +120,36 @@ def _points(k: int, groups: int):
     return run
 
 
-def _frequent(k: int, percent: int):
-    """First tokens that a slice has often; only the order of tokens depends on them."""
+def _merged(t: list[np.ndarray], c: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    tokens, back = np.unique(np.concatenate(t), return_inverse=True)
+    counts = np.bincount(back, np.concatenate(c), len(tokens)).astype(np.int64)
+    return tokens[counts >= least], counts[counts >= least]
+
+
+def _frequent(k: int):
+    """Tokens that a task's texts have often, by lossy counting in bounded memory; only the order
+    of tokens depends on them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, c, held = [], [], 0
         for b in batches:
             for s in slices(b.column(0)):
-                d, h = _sets(s, k)
-                n = np.bincount(d, minlength=s.hi - s.lo)
-                first = _prefixes(d, h, n, np.zeros(0, np.uint64), percent)
-                t, c = np.unique(h[first], return_counts=True)
-                often = c >= 3
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(t[often])), pa.array(c[often], pa.int64())], names=["token", "c"]
-                )
+                token, count = np.unique(_sets(s, k)[1], return_counts=True)
+                t, c, held = [*t, token], [*c, count], held + len(token)
+                least = 2
+                while held > COUNTED:
+                    token, count = _merged(t, c, least)
+                    t, c, held, least = [token], [count], len(token), 2 * least
+                    if held <= COUNTED // 2:
+                        break
+        if t:
+            token, count = _merged(t, c, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(count)], names=["token", "c"])
 
     return run
 
 
-def _tokens(k: int, percent: int, hot: np.ndarray):
+def _tokens(k: int, percent: int, often: Frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in slices(b.column(0)):
@@ -132,7 +160,7 @@ def _tokens(k: int, percent: int, hot: np.ndarray):
                 if len(d):
                     some = np.flatnonzero(n)
                     f1[some] = np.add.reduceat(mix64(h), np.cumsum(n)[some] - n[some])
-                first = _prefixes(d, h, n, hot, percent)
+                first = _prefixes(d, h, n, often, percent)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(h[first])), pa.array(signed(f1)[d[first]])], names=["token", "f"]
                 )
@@ -164,8 +192,9 @@ def _bounded(percent: int):
             most = _overlap(_vectors(b.column("vec_a")), _vectors(b.column("vec_b"))) if b.num_rows else np.zeros(0)
             total = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
             ok = pa.array(_reach(most, total, percent))
+            share = pa.array(most / np.maximum(total, 1))
             yield pa.RecordBatch.from_arrays(
-                [b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"]
+                [b.column("a").filter(ok), b.column("b").filter(ok), share.filter(ok)], names=["a", "b", "share"]
             )
 
     return run
@@ -199,8 +228,8 @@ def tree_join(n: np.ndarray, vec: np.ndarray, comp: np.ndarray, percent: int) ->
             if len(lo) == len(order):
                 ok &= (x < y) & (comp[order[x]] != comp[order[y]])
             x, y = x[ok], y[ok]
-            for j in range(0, len(x), 1 << 16):
-                p, q = x[j : j + (1 << 16)], y[j : j + (1 << 16)]
+            for j in range(0, len(x), 1 << 13):
+                p, q = x[j : j + (1 << 13)], y[j : j + (1 << 13)]
                 ok = _reach(_overlap(up[p], up[q]), lo[p] + lo[q], percent)
                 left.append(p[ok])
                 right.append(q[ok])
@@ -251,6 +280,56 @@ def _blocks(percent: int):
     return run
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _to_lead(k: int, percent: int):
+    """Exact similarity of each text to its partner (rows come in order of tile, a tile's partners
+    first). Only the partners of one tile are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, leads = None, {}
+        for b in batches:
+            links = []
+            tiles, keys = b.column("tile").to_pylist(), b.column("key").to_pylist()
+            others, texts = b.column("other").to_pylist(), b.column("text")
+            for i, at in enumerate(tiles):
+                if at != tile:
+                    tile, leads = at, {}
+                (s,) = slices(texts.slice(i, 1))
+                mine = _sets(s, k)[1]
+                if others[i] is None:
+                    leads[keys[i]] = mine
+                elif _similar(mine, leads[others[i]], percent):
+                    links.append((keys[i], others[i]))
+            u, v = zip(*links, strict=True) if links else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def _lead_links(texts: DataFrame, best: DataFrame, k: int, percent: int) -> DataFrame:
+    """Similar pairs of ``best`` (``a`` has one partner ``b``). Each text of ``a`` is shuffled once,
+    to a tile of its partner; a partner's text once for each ``TILE`` of those that have it."""
+    tiles = F.ceil(F.col("count") / TILE)
+    leads = best.groupBy("b").count().select("b", tiles.alias("parts"))
+    part = F.pmod(F.xxhash64("a"), F.col("parts"))
+    mine = best.join(leads, "b").select(F.col("a").alias("key"), F.col("b").alias("other"), part.alias("part"))
+    every = leads.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    theirs = every.select(F.col("b").alias("key"), F.lit(None).cast("long").alias("other"), "part")
+    wanted = stage(mine.union(theirs), "lead-tiles")
+    tile = F.xxhash64(F.coalesce("other", "key"), "part").alias("tile")
+    rows = picked(texts, wanted, "key", "inner").select(tile, "key", "other", "text")
+    return stage(
+        rows.repartition("tile")
+        .sortWithinPartitions("tile", F.col("other").isNotNull())
+        .mapInArrow(_to_lead(k, percent), "u long, v long"),
+        "lead-links",
+    )
+
+
 def _verified(k: int, percent: int):
     """Exact similarity of the pairs of each tile (rows come in order of tile, its texts first)."""
 
@@ -268,8 +347,7 @@ def _verified(k: int, percent: int):
                     sets[keys[i]] = _sets(s, k)[1]
                     continue
                 x, y = sets[keys[i]], sets[others[i]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
+                if _similar(x, y, percent):
                     links.append((keys[i], others[i]))
             u, v = zip(*links, strict=True) if links else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
@@ -316,10 +394,11 @@ def similar_documents(
 
     1. Equal sets are one class (two 64-bit sums over the set), named by its smallest id.
     2. Each set's first tokens: as many as it can lack of a similar set, plus one. Their order is
-       by hash, with tokens that are frequent all over last. A token that only one class has is
+       by hash, with tokens that are frequent all over last, by magnitude. A token that only one class has is
        dropped by an aggregate.
-    3. Every class of a block is paired with the block's first class, bounded and verified: linear
-       in the block, and enough for groups of near copies.
+    3. Every class of a block is paired with the block's first class and bounded: linear in the
+       block. Each class is verified with the partner of its highest bound first, which is enough
+       for most groups of near copies; then the pairs still between components are.
     4. Blocks that are then still in different components go through the tree, which pairs points
        of different components only; what is over the bound is verified too.
     """
@@ -335,17 +414,18 @@ def similar_documents(
         "set-classes",
     )
     only = texts.select("text")
-    often = (
-        only.mapInArrow(_frequent(shingle, percent), "token long, c long")
+    rows = (
+        only.mapInArrow(_frequent(shingle), "token long, c long")
         .groupBy("token")
         .agg(F.sum("c").alias("c"))
-        .where(F.col("c") >= HOT)
+        .where(F.col("c") >= OFTEN)
         .orderBy(F.desc("c"), "token")
-        .limit(MOST_HOT)  # more would only be taken in the order of the others
+        .limit(MOST_OFTEN)  # more would only be taken in the order of the others
         .collect()
     )
-    hot = np.array([r.token for r in often], np.int64).view(np.uint64)
-    tokens = only.mapInArrow(_tokens(shingle, percent, hot), "token long, f long")
+    rows = np.array(sorted((r.token, r.c.bit_length()) for r in rows), np.int64).reshape(-1, 2)
+    often = Frequent(rows[:, 0].astype(np.uint64), rows[:, 1])
+    tokens = only.mapInArrow(_tokens(shingle, percent, often), "token long, f long")
     shared = stage(
         tokens.groupBy("token")
         .agg(F.min("f").alias("lead"), F.max("f").alias("most"))
@@ -363,19 +443,38 @@ def similar_documents(
         .join(of("a"), "f_a")
         .join(of("b"), "f_b")
         .where((100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a")))
-        .mapInArrow(_bounded(percent), "a long, b long")
+        .mapInArrow(_bounded(percent), "a long, b long, share double")
     )
-    links = _links(texts, stage(stars, "star-pairs"), shingle, percent)
+    stars = stage(stars, "star-pairs")
+    best = stars.groupBy("a").agg(F.max(F.struct("share", "b")).alias("best")).select("a", "best.b")
+    best = stage(best, "best-pairs")
+    known = stage(components(_lead_links(texts, best, shingle, percent)), "lead-components")
+    side = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"comp_{c}"))
+    apart = (
+        stars.select("a", "b").join(best, ["a", "b"], "left_anti")
+        .join(side("a"), "a", "left")
+        .join(side("b"), "b", "left")
+        .where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b"))
+        .select("a", "b")
+    )
+    links = _links(texts, stage(apart, "apart-pairs"), shingle, percent)
+    links = known.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links)
     known = stage(components(links), "star-components")
     of_class = classes.join(known, "node", "left").select(
         "f1", "node", "n", "vec", F.coalesce("component", "node").alias("comp")
     )
-    placed = members.select("token", F.col("f").alias("f1")).join(of_class, "f1")
-    mixed = (
-        placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
+    of_class = stage(of_class, "class-components")
+    placed = members.select("token", F.col("f").alias("f1"))
+    mixed = (  # of two classes, one is the first, and their pair is done
+        placed.join(of_class.select("f1", "comp"), "f1")
+        .groupBy("token")
+        .agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c"))
+        .where("x <> y AND c > 2")
+        .select("token")
     )
+    placed = stage(placed.join(stage(mixed, "mixed-tokens"), "token"), "mixed-members")
     rest = (
-        placed.join(stage(mixed, "mixed-tokens"), "token")
+        placed.join(of_class, "f1")
         .repartition("token")
         .sortWithinPartitions("token")
         .select("token", "node", "n", "comp", "vec")
@@ -383,7 +482,8 @@ def similar_documents(
         .distinct()
     )
     more = _links(texts, stage(rest, "tree-pairs"), shingle, percent)
-    final = stage(components(links.union(more)), "components")
+    links = known.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)
+    final = stage(components(links), "components")
     named = classes.select("n", "f1", "f2", "node").join(final, "node", "left").select(
         "n", "f1", "f2", F.coalesce("component", "node").alias("component")
     )

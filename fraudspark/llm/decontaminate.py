@@ -9,11 +9,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fraudspark.llm.common import ALNUM, runs, signed, slices, small_batches, whole, words
+from fraudspark.sources.staging import stage
 
 WINDOW, SHINGLE = 10, 5
 BLOCK_BYTES = 8_000_000
@@ -150,8 +150,9 @@ def _hits(w, ix: Index, marks: np.ndarray, items: dict[int, set[str]]) -> None:
             items[int(doc[p])].update(ix.items[k])
 
 
-def _finder(index: list[Index]):
-    """Adds to each row the words hit (one bit each) and the items found."""
+def _finder(index: list[Index], last: bool):
+    """Adds to each row the words hit (one bit each) and the items found; after the last block of
+    items, gives what the rows come to instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,9 +180,11 @@ def _finder(index: list[Index]):
                     masks.append(np.packbits(own).tobytes())
                     lists.append(sorted(items[i] | set(had or ())))
             n = np.concatenate(n_words) if n_words else np.zeros(0, np.int64)
+            if last:
+                yield _digests(b.column("id"), n, masks, lists)
+                continue
             cols = dict(zip(b.schema.names, b.columns, strict=True))
             cols |= {
-                "n_words": pa.array(n, pa.int64()),
                 "hit": pa.array(masks, pa.binary()),
                 "items": pa.array(lists, pa.list_(pa.string())),
             }
@@ -190,29 +193,26 @@ def _finder(index: list[Index]):
     return run
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        hit = [
-            0 if m is None else int(np.unpackbits(np.frombuffer(m, np.uint8)).sum())
-            for m in b.column("hit").to_pylist()
-        ]
-        items = [x or [] for x in b.column("items").to_pylist()]
-        digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-        yield pa.RecordBatch.from_arrays(
-            [
-                b.column("id"),
-                pc.fill_null(b.column("n_words"), 0),
-                pa.array(hit, pa.int64()),
-                pa.array([len(x) for x in items], pa.int64()),
-                pa.array(digest, pa.string()),
-                pa.array([x > 0 for x in hit], pa.bool_()),
-            ],
-            names=["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-        )
+def _digests(ids: pa.Array, n_words: np.ndarray, masks: list, lists: list) -> pa.RecordBatch:
+    hit = [0 if m is None else int(np.unpackbits(np.frombuffer(m, np.uint8)).sum()) for m in masks]
+    items = [x or [] for x in lists]
+    digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+    return pa.RecordBatch.from_arrays(
+        [
+            ids,
+            pa.array(n_words, pa.int64()),
+            pa.array(hit, pa.int64()),
+            pa.array([len(x) for x in items], pa.int64()),
+            pa.array(digest, pa.string()),
+            pa.array([x > 0 for x in hit], pa.bool_()),
+        ],
+        names=["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+    )
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int):
-    """Items in blocks of about ``block_bytes`` characters, one at a time on the driver."""
+    """Items in blocks of about ``block_bytes`` characters, one at a time on the driver, and
+    whether a block is the last."""
     b = benchmark.select(
         F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")
     ).where("text IS NOT NULL")
@@ -220,7 +220,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
     n = max(1, -(-total // block_bytes))
     for k in range(n):
         part = b if n == 1 else b.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield sorted({(x.item or "", x.text) for x in part.collect()})
+        yield sorted({(x.item or "", x.text) for x in part.collect()}), k == n - 1
 
 
 def contamination(
@@ -246,18 +246,16 @@ def contamination(
     Null texts have no words. A null item id is the empty string. Repeated rows are rows of their
     own; an empty benchmark hits nothing; other columns are not read. The benchmark is taken in
     blocks of ``block_bytes``, so what is sent to tasks has a bound; each block adds to the same
-    rows. Documents are read twice and never shuffled.
+    rows, written between blocks. Documents are read twice a block and never shuffled.
     """
     spark = docs.sparkSession
     small_batches(spark)
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     out = rows.select(
-        "id", "text", F.lit(0).cast("long").alias("n_words"),
-        F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"),
-    )
-    schema = f"id {kind}, text string, n_words long, hit binary, items array<string>"
-    for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
+        "id", "text", F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items")
+    )
+    for items, last in _blocks(benchmark, item_col, item_text_col, block_bytes):
         found = item_windows(items, window)
         by_g: dict[int, list[np.ndarray]] = defaultdict(list)
         for size, w in found.items():
@@ -268,8 +266,10 @@ def contamination(
             counted = rows.select("text").mapInArrow(_counter(shingles), "token long, n long")
             sums = counted.groupBy("token").agg(F.sum("n").alias("n")).collect()
             counts = {r.token % (1 << 64): r.n for r in sums}
-        out = out.mapInArrow(_finder(build_index(found, counts)), schema)
-    return out.mapInArrow(
-        _digests,
-        f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean",
-    ).withColumnRenamed("id", id_col)
+        schema = f"id {kind}, text string, hit binary, items array<string>"
+        if last:
+            schema = f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+        out = out.mapInArrow(_finder(build_index(found, counts), last), schema)
+        if not last:
+            out = stage(out, "benchmark-hits")
+    return out.withColumnRenamed("id", id_col)

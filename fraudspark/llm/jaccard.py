@@ -10,6 +10,7 @@ cannot reach the threshold are dropped, and the pairs left are verified on the s
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,7 @@ DOCS = 1 << 12
 OFTEN, MOST_OFTEN, COUNTED = 8, 1 << 16, 1 << 20
 LEAF = 16
 TILE = 512
+BLOCK = 1 << 10
 
 
 def _sets(s: Slice, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,23 +202,30 @@ def _bounded(percent: int):
     return run
 
 
-def tree_join(n: np.ndarray, vec: np.ndarray, comp: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of points of different components whose bound reaches the threshold.
+def tree_join(
+    n: np.ndarray, vec: np.ndarray, comp: np.ndarray, percent: int, side: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of points of different components (and sides, if given) whose bound reaches the threshold.
 
-    Points are packed into leaves in order of size and of their largest-spread coordinates, leaves
-    into boxes of ``LEAF``, up to one root. Pairs of boxes go down from (root, root) level by level.
+    Points are packed into leaves in order of side, of component (if it could fill a leaf), of size and
+    of their largest-spread coordinates, leaves into boxes of ``LEAF``, up to one root. Pairs of boxes
+    go down from (root, root) level by level; two boxes of one component or one side go no further.
     """
     wide = np.argsort(-vec.var(axis=0), kind="stable")[:2]
-    order = np.lexsort((vec[:, wide[1]], vec[:, wide[0]], n.astype(float).round(-1), n))
-    levels = [(n[order], n[order], vec[order])]  # least size, most size, upper corner
+    _, back, many = np.unique(comp, return_inverse=True, return_counts=True)
+    group = np.where(many[back] >= LEAF, back, -1)
+    sides = np.arange(len(n)) if side is None else side
+    first = np.zeros(len(n), np.int64) if side is None else side
+    order = np.lexsort((vec[:, wide[1]], vec[:, wide[0]], n.astype(float).round(-1), n, group, first))
+    base = n[order], back[order], sides[order]
+    levels = [(*base, *base, vec[order])]  # least and most size, component and side; upper corner
     while len(levels[-1][0]) > 1:
-        lo, hi, up = levels[-1]
-        cut = np.arange(0, len(lo), LEAF)
-        levels.append(
-            (np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.maximum.reduceat(up, cut, axis=0))
-        )
+        cut = np.arange(0, len(levels[-1][0]), LEAF)
+        lows = [np.minimum.reduceat(x, cut) for x in levels[-1][:3]]
+        highs = [np.maximum.reduceat(x, cut) for x in levels[-1][3:6]]
+        levels.append((*lows, *highs, np.maximum.reduceat(levels[-1][6], cut, axis=0)))
     a = b = np.zeros(1, np.int64)
-    for lo, hi, up in levels[-2::-1]:
+    for lo, lo_comp, lo_side, hi, hi_comp, hi_side, up in levels[-2::-1]:
         left, right = [], []
         for i in range(0, len(a), 512):  # bounded memory
             kids = np.arange(LEAF)
@@ -225,8 +234,8 @@ def tree_join(n: np.ndarray, vec: np.ndarray, comp: np.ndarray, percent: int) ->
             ok = (x < len(lo)) & (y < len(lo)) & (x <= y)
             x, y = x[ok], y[ok]
             ok = (100 * hi[x] >= percent * lo[y]) & (100 * hi[y] >= percent * lo[x])
-            if len(lo) == len(order):
-                ok &= (x < y) & (comp[order[x]] != comp[order[y]])
+            for least, most in ((lo_comp, hi_comp), (lo_side, hi_side)):
+                ok &= (np.minimum(least[x], least[y]) != np.maximum(most[x], most[y]))
             x, y = x[ok], y[ok]
             for j in range(0, len(x), 1 << 13):
                 p, q = x[j : j + (1 << 13)], y[j : j + (1 << 13)]
@@ -242,18 +251,67 @@ def tree_join(n: np.ndarray, vec: np.ndarray, comp: np.ndarray, percent: int) ->
     return order[a], order[b]
 
 
+def block_jobs(rows: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Deals blocks (token, f1, n, comp; ``c`` is the block's rows) out as jobs of at most two tiles:
+    token, x, y, tile, f1. Every two rows of a block that differ in component and may be similar by
+    size meet in a job.
+
+    A block of at most ``block`` rows is one tile. A larger one is cut by classes of size, so that
+    sizes two classes apart are never similar; in a class, a component of more than ``block`` rows
+    has tiles of its own, dealt by hash, and the others share tiles by the hash of the component. A
+    job is a pair of tiles (or one, x = y) whose sizes may be similar and that are not of one
+    component alone.
+    """
+    none = F.lit(0).cast("long")
+    whole = rows.where(F.col("c") <= block).select(
+        "token", none.alias("x"), none.alias("y"), none.alias("tile"), "f1"
+    )
+    size = F.floor(F.log("n") / (math.log(100 / percent) * (1 + 1e-9))) if percent < 100 else F.col("n")
+    hot = stage(rows.where(F.col("c") > block).withColumn("size", size), "hot-members")
+    units = stage(hot.groupBy("token", "size", "comp").agg(F.count("*").alias("m")), "hot-units")
+    few = F.col("m") <= block
+    parts = units.where(few).groupBy("token", "size").agg(F.ceil(F.sum("m") / block).alias("parts"))
+    units = units.join(parts, ["token", "size"], "left").select(
+        "token", "size", "comp", few.alias("few"),
+        F.when(few, F.col("parts")).otherwise(F.ceil(F.col("m") / block)).alias("parts"),
+    )
+    key = F.when(F.col("few"), F.xxhash64("comp")).otherwise(F.xxhash64("f1"))
+    own = F.when(F.col("few"), F.lit(-1).cast("long")).otherwise(F.col("comp"))
+    tile = F.xxhash64("size", "few", own, F.pmod(key, F.col("parts")))
+    hot = stage(hot.join(units, ["token", "size", "comp"]).withColumn("tile", tile), "hot-tiles")
+    tiles = hot.groupBy("token", "tile").agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("least"), F.max("comp").alias("most")
+    )
+    tiles = stage(tiles, "tiles")
+    at = lambda c: tiles.select("token", *[F.col(x).alias(f"{x}_{c}") for x in ("tile", "lo", "hi", "least", "most")])
+    jobs = (
+        at("x").join(at("y"), "token")
+        .where("tile_x <= tile_y")
+        .where((100 * F.col("hi_x") >= percent * F.col("lo_y")) & (100 * F.col("hi_y") >= percent * F.col("lo_x")))
+        .where("least(least_x, least_y) <> greatest(most_x, most_y)")
+        .select("token", F.col("tile_x").alias("x"), F.col("tile_y").alias("y"))
+    )
+    jobs = stage(jobs, "tile-jobs")
+    need = jobs.withColumn("tile", F.col("x")).union(jobs.where("x <> y").withColumn("tile", F.col("y")))
+    return whole.union(hot.join(need, ["token", "tile"]).select("token", "x", "y", "tile", "f1"))
+
+
 def _blocks(percent: int):
-    """Whole blocks (rows come in order of token) through the tree."""
+    """Whole jobs (rows come in order of token and tiles) through the tree."""
+    keys = ("token", "x", "y")
 
     def solve(t: pa.Table) -> pa.RecordBatch:
-        token = t.column("token").to_numpy()
-        node, n, comp = (t.column(c).to_numpy() for c in ("node", "n", "comp"))
+        at = [t.column(c).to_numpy() for c in keys]
+        node, n, comp, tile = (t.column(c).to_numpy() for c in ("node", "n", "comp", "tile"))
         vec = _vectors(t.column("vec").combine_chunks())
-        cuts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        new = np.any([k[1:] != k[:-1] for k in at], axis=0)
+        cuts = np.flatnonzero(np.append(True, new))
         left, right = [], []
-        for lo, hi in zip(cuts, np.append(cuts[1:], len(token)), strict=True):
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(node)), strict=True):
             if hi - lo > 1:
-                x, y = tree_join(n[lo:hi], vec[lo:hi], comp[lo:hi], percent)
+                one = at[1][lo] == at[2][lo]
+                side = None if one else (tile[lo:hi] != at[1][lo]).astype(np.int64)
+                x, y = tree_join(n[lo:hi], vec[lo:hi], comp[lo:hi], percent, side)
                 left.append(node[lo + x])
                 right.append(node[lo + y])
         a = np.concatenate(left) if left else np.zeros(0, np.int64)
@@ -266,9 +324,10 @@ def _blocks(percent: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            token = b.column("token").to_numpy()
-            cut = int(np.searchsorted(token, token[-1]))
-            if cut == 0 and held and held[-1].column("token")[0].as_py() == token[0]:
+            at = [b.column(c).to_numpy() for c in keys]
+            last = np.all([k == k[-1] for k in at], axis=0)
+            cut = int(np.argmax(last))
+            if cut == 0 and held and all(held[-1].column(c)[0].as_py() == k[0] for c, k in zip(keys, at, strict=True)):
                 held.append(b)
                 continue
             if held or cut:
@@ -382,6 +441,7 @@ def similar_documents(
     groups: int = GROUPS,
     id_col: str = "doc_id",
     text_col: str = "text",
+    block: int = BLOCK,
 ) -> DataFrame:
     """Size of each document's shingle set and its component under links of similar sets.
 
@@ -400,7 +460,8 @@ def similar_documents(
        block. Each class is verified with the partner of its highest bound first, which is enough
        for most groups of near copies; then the pairs still between components are.
     4. Blocks that are then still in different components go through the tree, which pairs points
-       of different components only; what is over the bound is verified too.
+       of different components only; what is over the bound is verified too. A block of more than
+       ``block`` classes is cut into tiles first and goes by pairs of tiles (see ``block_jobs``).
     """
     small_batches(docs.sparkSession)
     ids, renamed = keyed(docs, id_col, text_col)
@@ -470,14 +531,15 @@ def similar_documents(
         .groupBy("token")
         .agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c"))
         .where("x <> y AND c > 2")
-        .select("token")
+        .select("token", "c")
     )
-    placed = stage(placed.join(stage(mixed, "mixed-tokens"), "token"), "mixed-members")
+    placed = placed.join(stage(mixed, "mixed-tokens"), "token").join(of_class.select("f1", "n", "comp"), "f1")
+    jobs = stage(block_jobs(stage(placed, "mixed-members"), percent, block), "block-jobs")
     rest = (
-        placed.join(of_class, "f1")
-        .repartition("token")
-        .sortWithinPartitions("token")
-        .select("token", "node", "n", "comp", "vec")
+        jobs.join(of_class, "f1")
+        .repartition("token", "x", "y")
+        .sortWithinPartitions("token", "x", "y")
+        .select("token", "x", "y", "tile", "node", "n", "comp", "vec")
         .mapInArrow(_blocks(percent), "a long, b long")
         .distinct()
     )

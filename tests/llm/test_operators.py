@@ -258,6 +258,63 @@ def test_tree_finds_all_pairs():
     assert want <= {(min(x), max(x)) for x in zip(a.tolist(), b.tolist())}
 
 
+def test_tree_stops_at_boxes_of_one_component(monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    n, work, real = 6000, [0], jaccard._overlap
+    vec = np.repeat(r.integers(0, 4, (1, 32)), n, axis=0).astype(np.uint16)
+    vec[1::7, 5] += 1
+    size = vec.sum(axis=1).astype(np.int64)
+    comp = np.zeros(n, np.int64)
+    comp[4321] = 9
+
+    def counted(a, b):
+        work[0] += len(a)
+        return real(a, b)
+
+    monkeypatch.setattr(jaccard, "_overlap", counted)
+    a, b = jaccard.tree_join(size, vec, comp, 85)
+    assert len(a) == n - 1 and all(4321 in p for p in zip(a.tolist(), b.tolist()))
+    assert work[0] < 10 * n
+    side = (np.arange(n) >= 4000).astype(np.int64)
+    a, b = jaccard.tree_join(size, vec, comp, 85, side)
+    assert len(a) == 4000 and all(side[a] != side[b])
+
+
+def test_large_blocks_go_in_tiles(spark):
+    r = random.Random(4)
+    rows = [(1, i, r.choice([40, 44, 50, 85, 100]), 7 if i < 120 else i) for i in range(300)]
+    rows += [(2, i, 10, i) for i in range(20)]
+    size = Counter(t for t, *_ in rows)
+    df = spark.createDataFrame([(*x, size[x[0]]) for x in rows], "token long, f1 long, n long, comp long, c long")
+    jobs = defaultdict(list)
+    for j in jaccard.block_jobs(df, 85, block=30).collect():
+        jobs[j.token, j.x, j.y].append((j.f1, j.tile))
+    assert max(map(len, jobs.values())) <= 120 and len(jobs) > 20
+    met = set()
+    for (t, x, y), found in jobs.items():
+        met |= {(t, a, b) for a, s in found for b, u in found if a < b and (x == y or s != u)}
+    for t, a, n, p in rows:
+        for u, b, m, q in rows:
+            if t == u and a < b and p != q and 100 * min(n, m) >= 85 * max(n, m):
+                assert (t, a, b) in met
+    assert not any(all(a < 120 for a, _ in found) for (t, *_), found in jobs.items() if t == 1)
+
+
+def test_similar_in_small_tiles(docs):
+    want = {i: r.component_id for i, r in by_id(jaccard.similar_documents(docs, 4, 85)).items()}
+    r = random.Random(8)
+    head = " ".join(f"h{i}" for i in range(40))
+    rows = [(1000 + i, head + " " + " ".join(r.choice("abcdefg") + str(r.randint(0, 99)) for _ in range(8 + i % 3))) for i in range(60)]
+    more = docs.select("doc_id", "text").union(docs.sparkSession.createDataFrame(rows, "doc_id long, text string"))
+    got = by_id(jaccard.similar_documents(more, 4, 85, block=3))
+    assert {i: got[i].component_id for i in want} == want
+    assert {i: x.component_id for i, x in got.items()} == {
+        i: x.component_id for i, x in by_id(jaccard.similar_documents(more, 4, 85)).items()
+    }
+
+
 @pytest.mark.parametrize("block_bytes", [8_000_000, 200])
 def test_contamination(spark, docs, block_bytes):
     t = [x for x in texts() if x]

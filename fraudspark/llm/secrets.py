@@ -10,6 +10,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -149,30 +150,42 @@ def _base64_layers(text: str) -> Iterator[tuple[str, ToParent]]:
             yield inner, lambda s, e, a=a, b=b: (a, b)
 
 
+def _layers(text: str) -> list[tuple[str, ToParent, bool]]:
+    inner = [x for x in (_url_layer(text), _escape_layer(text)) if x]
+    return [(*x, True) for x in [*inner, *_base64_layers(text)] if x[0] and x[0] != text]
+
+
 def layered_spans(text: str) -> tuple[list[Span], list[Span], int]:
-    """Base spans, all spans, and how many layers were opened.
+    """Base spans, all spans, and how many different layers were opened.
 
-    Worklist: each layer is scanned, and what its URL, Unicode, base64 and compressed parts decode
-    to is put on the list, until nothing new comes; a layer seen before is not opened again.
+    Each layer is scanned, and so is what its URL, Unicode, base64 and compressed parts decode to.
+    The spans of a layer are kept by its text, and every place where that text is decoded again gets
+    them; only a layer inside itself is not opened.
     """
     base = base_spans(text)
-    found = set(base)
-    seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
-    work: list[tuple[str, ToParent]] = [(text, lambda s, e: (s, e))]
-    opened = 0
+    done: dict[str, set[Span]] = {}
+    counted: set[str] = set()
+    path = {text}
+    work = [(text, iter(_layers(text)), set(base))]
     while work:
-        layer, up = work.pop()
-        inner = [x for x in (_url_layer(layer), _escape_layer(layer)) if x]
-        for decoded, to_layer in [*inner, *_base64_layers(layer)]:
-            key = hashlib.blake2b(decoded.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            if not decoded or key in seen:
-                continue
-            seen.add(key)
-            opened += 1
-            to_root = lambda s, e, up=up, to=to_layer: up(*to(s, e))
-            found.update((k, *to_root(s, e)) for k, s, e in base_spans(decoded))
-            work.append((decoded, to_root))
-    return base, list(found), opened
+        layer, rest, found = work[-1]
+        for decoded, to_layer, counts in rest:
+            if counts:
+                counted.add(decoded)
+            if decoded in done:
+                found.update((k, *to_layer(s, e)) for k, s, e in done[decoded])
+            elif decoded not in path:
+                path.add(decoded)
+                work[-1] = (layer, chain([(decoded, to_layer, counts)], rest), found)
+                work.append((decoded, iter(_layers(decoded)), set(base_spans(decoded))))
+                break
+        else:
+            work.pop()
+            path.discard(layer)
+            done[layer] = found
+    every = done.pop(text)
+    counted.update(x for x, spans in done.items() if spans)
+    return base, list(every), len(counted - {text})
 
 
 def joined(spans: list[Span]) -> str:
@@ -205,8 +218,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Kinds: ``assign`` (a keyword, a sign and a value of 6 characters or more; the span is the
     whole match), ``access`` (``AKIA`` and upper case letters or digits, 20 or more), ``hex``
     (24 or more). Spans count code points, end exclusive; a secret found in a decoded layer has
-    the span of the characters that it was decoded from (all of a compressed run), and counts once
-    if a base span says the same. Null is the empty text: no spans. Repeated rows are rows of
+    the span of the characters that it was decoded from (all of a compressed run), at every place
+    where they stand, and counts once if a base span says the same. Null is the empty text: no spans. Repeated rows are rows of
     their own, no rows give none, other columns are not read. No shuffle.
     """
     small_batches(docs.sparkSession)

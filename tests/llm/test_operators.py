@@ -137,6 +137,18 @@ def test_secret_layers(spark):
     assert got[0].base_sha256 == hashlib.sha256(got[0].spans.encode()).hexdigest()
 
 
+def test_secrets_at_every_place():
+    run = base64.b64encode(b"password=letmein99!").decode()
+    for text in (f"{run}\n{run}", f"{run} x {quote(run)} {run}", f"{run} %70assword=letmein99! {run}"):
+        every = {(s, e) for k, s, e in secrets.layered_spans(text)[1]}
+        for m in re.finditer(re.escape(run.rstrip("=")), text):
+            assert any(m.start() == s and m.end() - 3 <= e <= m.end() for s, e in every), text
+    twice = base64.b64encode(run.encode()).decode()
+    every = secrets.layered_spans(f"{twice} and {run} and {twice}")[1]
+    assert len(every) == 3 and max(s for _, s, _ in every) == len(twice) + len(run) + 10
+    assert secrets.layered_spans("%" + "25" * 1500 + "70assword=abcdef1")[1]
+
+
 def test_host_rules(docs):
     got = by_id(host_rules(docs))
     for r in docs.collect():

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -12,6 +11,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +27,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 URL = re.compile(r"%[0-9A-Fa-f]{2}")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#(\d{1,7});|&#x([0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+(?=={0,2}[ \t]*(?:\r?\n|\Z)))+")
+LINE_END = re.compile(r"[ \t]*\r?\n[ \t]*")
+MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
 KEYWORDS = ("passw", "secret", "token", "api")
 
 Span = tuple[str, int, int]
@@ -46,28 +49,37 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\t\n\r" for c in text) else None
-
-
-def _inflated(raw: bytes) -> str | None:
-    """The text under one compressed layer: gzip, zlib, bzip2 or xz, by their first bytes."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            return _readable(zlib.decompress(raw, 31))
-        if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            return _readable(zlib.decompress(raw))
-        if raw[:3] == b"BZh":
-            return _readable(bz2.decompress(raw))
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return _readable(lzma.decompress(raw))
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-        return None
-    return None
+def _readable(text: str) -> bool:
+    return all(c.isprintable() or c in "\t\n\r" for c in text)
+
+
+def _lenient(raw: bytes) -> str:
+    """UTF-8; a byte that is none becomes a character of its own, so that every place is kept."""
+    return raw.decode("utf-8", "surrogateescape")
+
+
+def _inflated(raw: bytes) -> Iterator[tuple[int, bytes]]:
+    """What the gzip, zlib, bzip2 or xz bodies in some bytes hold, bodies in these included, and
+    where the outermost body starts."""
+    work, seen = [(None, raw)], set()
+    while work:
+        first, outer = work.pop()
+        for m in MAGIC.finditer(outer):
+            if m[0][:1] == b"B":
+                opener = bz2.BZ2Decompressor()
+            elif m[0][:1] == b"\xfd":
+                opener = lzma.LZMADecompressor()
+            else:
+                opener = zlib.decompressobj(31 if m[0][:1] == b"\x1f" else 15)
+            try:
+                inner = opener.decompress(outer[m.start() :])
+            except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
+                continue
+            one = m.start() if first is None else first, inner
+            if inner and one not in seen:
+                seen.add(one)
+                work.append(one)
+                yield one
 
 
 def _mapped(pieces: list[tuple[str, int, int]]) -> tuple[str, ToParent]:
@@ -128,35 +140,59 @@ def _escape_layer(text: str) -> tuple[str, ToParent] | None:
     return _mapped([p for p in pieces if p[0]])
 
 
-def _base64_layers(text: str) -> Iterator[tuple[str, ToParent]]:
+def _runs(text: str) -> Iterator[tuple[np.ndarray, int]]:
+    """Places of the characters of each base64 run, and of runs that go on over line ends; and
+    where the run ends with its padding."""
     for m in BASE64.finditer(text):
-        run, a, b = m[0], *m.span()
-        body = run.rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        try:
+        yield np.arange(m.start(), m.start() + len(m[0].rstrip("="))), m.end()
+    if "\n" in text:
+        for m in WRAPPED.finditer(text):
+            keep = np.ones(len(m[0]), bool)
+            for end in LINE_END.finditer(m[0]):
+                keep[end.start() : end.end()] = False
+            pad = re.compile("={0,2}").match(text, m.end())
+            yield m.start() + np.flatnonzero(keep), pad.end()
+
+
+def _may_hold(text: str) -> bool:
+    return bool(base_spans(text) or BASE64.search(text) or URL.search(text) or ESCAPE.search(text))
+
+
+def _from_bytes(text: str, at: np.ndarray) -> ToParent:
+    """Places of a text decoded from the base64 characters at ``at``."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    escaped = (code >= 0xD800) & (code < 0xE000)
+    width = np.where(escaped, 1, 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
+    upto = np.append(0, np.cumsum(width))
+    return lambda s, e: (int(at[upto[s] * 4 // 3]), int(at[min(-(-upto[e] * 4 // 3), len(at)) - 1]) + 1)
+
+
+def _base64_layers(text: str) -> Iterator[tuple[str, ToParent, bool]]:
+    """Each run from each of its first four characters on (a start further on, as after a slash, is
+    in step with one of these), and the compressed bodies in it."""
+    for every, end in _runs(text):
+        run = "".join(text[i] for i in every) if every[-1] - every[0] >= len(every) else text[every[0] : every[-1] + 1]
+        run = run.replace("-", "+").replace("_", "/")
+        for start in range(4):
+            body = run[start : len(run) - ((len(run) - start) % 4 == 1)]
+            at = every[start : start + len(body)]
             raw = base64.b64decode(body + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        plain = _readable(raw)
-        if plain is not None:
-            pieces, at = [], 0
-            for c in plain:
-                upto = at + len(c.encode("utf-8"))
-                pieces.append((c, a + at * 4 // 3, min(b, a + -(-upto * 4 // 3))))
-                at = upto
-            yield _mapped(pieces)
-        elif (inner := _inflated(raw)) is not None:
-            yield inner, lambda s, e, a=a, b=b: (a, b)
+            plain = _lenient(raw)
+            plainly = _readable(plain)
+            if plainly or _may_hold(plain):
+                yield plain, _from_bytes(plain, at), plainly
+            for first, inner in _inflated(raw):
+                yield _lenient(inner), lambda s, e, a=int(at[first * 4 // 3]), b=end: (a, b), True
 
 
 def _layers(text: str) -> list[tuple[str, ToParent, bool]]:
-    inner = [x for x in (_url_layer(text), _escape_layer(text)) if x]
-    return [(*x, True) for x in [*inner, *_base64_layers(text)] if x[0] and x[0] != text]
+    inner = [(*x, True) for x in (_url_layer(text), _escape_layer(text)) if x]
+    return [x for x in [*inner, *_base64_layers(text)] if x[0] and x[0] != text]
 
 
 def layered_spans(text: str) -> tuple[list[Span], list[Span], int]:
-    """Base spans, all spans, and how many different layers were opened.
+    """Base spans, all spans, and how many different layers were opened: whole readable texts, those
+    under URL or Unicode escapes or a compression, and any other that holds a secret.
 
     Each layer is scanned, and so is what its URL, Unicode, base64 and compressed parts decode to.
     The spans of a layer are kept by its text, and every place where that text is decoded again gets
@@ -219,7 +255,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole match), ``access`` (``AKIA`` and upper case letters or digits, 20 or more), ``hex``
     (24 or more). Spans count code points, end exclusive; a secret found in a decoded layer has
     the span of the characters that it was decoded from (all of a compressed run), at every place
-    where they stand, and counts once if a base span says the same. Null is the empty text: no spans. Repeated rows are rows of
+    where they stand, and counts once if a base span says the same. Base64 runs are decoded line by
+    line and over line ends, so a secret over a line end has both its part's span and its own. Null is the empty text: no spans. Repeated rows are rows of
     their own, no rows give none, other columns are not read. No shuffle.
     """
     small_batches(docs.sparkSession)

@@ -149,6 +149,31 @@ def test_secrets_at_every_place():
     assert secrets.layered_spans("%" + "25" * 1500 + "70assword=abcdef1")[1]
 
 
+@pytest.mark.parametrize(
+    "raw", [x + b"password=letmein99 " + y for x in (b"\xc2\xa0", "\u3000".encode(), b"\xef\xbb\xbf", b"\x0c", b"\x00\xff") for y in (b"", b"\xe2\x80\x8b", b"\xfe")]
+)
+def test_secrets_in_unclean_bytes(raw):
+    assert any(k == "assign" for k, *_ in secrets.layered_spans("see " + base64.b64encode(raw).decode())[1])
+
+
+@pytest.mark.parametrize("head", ["", "auth/", "x-", "key_", "a/b/", "zz_", "blob/v1-"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, lambda x: zlib.compress(gzip.compress(x)), lambda x: gzip.compress(gzip.compress(x))])
+def test_secrets_in_runs_out_of_step(head, pack):
+    run = base64.b64encode(pack(b"password=letmein99")).decode()
+    every = secrets.layered_spans(f"{head}{run} .")[1]
+    assert any(k == "assign" and s < len(head + run) and e >= len(head + run.rstrip("=")) - 1 for k, s, e in every)
+
+
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  "])
+def test_secrets_over_line_ends(pack, end):
+    r = random.Random(1)
+    plain = " ".join(str(r.random()) for _ in range(2)) + " password=letmein" + "9" * 60 + " " + str(r.random())
+    run = base64.b64encode(pack(plain.encode())).decode()
+    text = "begin: " + end.join(run[i : i + 76] for i in range(0, len(run), 76)) + "\nend of it"
+    assert any(k == "assign" and "\n" in text[s:e] for k, s, e in secrets.layered_spans(text)[1])
+
+
 def test_host_rules(docs):
     got = by_id(host_rules(docs))
     for r in docs.collect():

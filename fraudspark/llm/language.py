@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +20,7 @@ SAMPLE = 400
 SAMPLE_BYTES = 20_000
 CLUSTERS = 3
 FLOOR_SHARE = 0.25
+LENGTHS, ENOUGH, LEAST_SHARE, MOST_SHARE = 8, 50, 0.8, 0.9
 UNKNOWN = "und"
 _SPACE = 0x20
 
@@ -77,7 +80,7 @@ def _counts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     """Languages, inverse document frequencies, centroids (unit rows) with the language of each,
-    and the cosine under which a text is too far from all."""
+    and by language and length class the cosine under which a text is too far from all."""
 
     langs: list[str]
     idf: np.ndarray
@@ -90,13 +93,39 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def fit(counts: np.ndarray, langs: list[str], clusters: int = CLUSTERS) -> Model:
+def _length(counts: np.ndarray) -> np.ndarray:
+    """Length class: powers of four of the n-grams of a text."""
+    return np.minimum(np.log2(np.maximum(counts.sum(axis=1), 1)) // 2, LENGTHS - 1).astype(np.int64)
+
+
+def _floors(near: np.ndarray, own: np.ndarray, length: np.ndarray, junk: np.ndarray, junk_length: np.ndarray) -> np.ndarray:
+    """Per language and length class, from the cosines of training texts and of texts with shuffled
+    letters: what 99 in 100 shuffled texts stay under, but between ``LEAST_SHARE`` and ``MOST_SHARE``
+    of what all but one in a hundred training texts reach. A class with fewer than ``ENOUGH`` texts of
+    the language takes those of all languages, or else the floor of the next shorter class."""
+    out = np.zeros((own.max() + 1, LENGTHS))
+    for k in range(len(out)):
+        last = FLOOR_SHARE * float(np.quantile(near[own == k], 0.01))
+        for c in range(LENGTHS):
+            some = near[(own == k) & (length == c)]
+            some = some if len(some) >= ENOUGH else near[length == c]
+            if len(some) >= ENOUGH:
+                real, bad = float(np.quantile(some, 0.01)), junk[junk_length == c]
+                top = float(np.quantile(bad, 0.99)) if len(bad) else 0.0
+                last = min(max(top, LEAST_SHARE * real), MOST_SHARE * real)
+            out[k, c] = last
+    return out
+
+
+def fit(
+    counts: np.ndarray, langs: list[str], clusters: int = CLUSTERS, shuffled: np.ndarray | None = None
+) -> Model:
     """Clusters each language's vectors by cosine (seeds far from each other, ten rounds)."""
     names = sorted(set(langs))
     own = np.array([names.index(x) for x in langs])
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
     x = _unit(np.log1p(counts) * idf)
-    cents, owner, floor = [], [], []
+    cents, owner, reached = [], [], np.zeros(len(x))
     for k in range(len(names)):
         mine = x[own == k]
         at = [0]
@@ -108,9 +137,23 @@ def fit(counts: np.ndarray, langs: list[str], clusters: int = CLUSTERS) -> Model
             c = _unit(np.stack([mine[near == j].sum(axis=0) if (near == j).any() else c[j] for j in range(len(c))]))
         cents.append(c)
         owner += [k] * len(c)
-        near = (mine @ c.T).max(axis=1)
-        floor.append(FLOOR_SHARE * float(np.quantile(near, 0.01)))
-    return Model(names, idf, np.concatenate(cents), np.array(owner), np.array(floor))
+        reached[own == k] = (mine @ c.T).max(axis=1)
+    all_cents = np.concatenate(cents)
+    bad = np.zeros((0, DIMS), np.float32) if shuffled is None else shuffled
+    junk = (_unit(np.log1p(bad) * idf) @ all_cents.T).max(axis=1)
+    floor = _floors(reached, own, _length(counts), junk, _length(bad))
+    return Model(names, idf, all_cents, np.array(owner), floor)
+
+
+def shuffled(text: str) -> str:
+    """The text with its letters in a seeded other order; all else stays in place."""
+    at = [i for i, c in enumerate(text) if c.isalpha()]
+    letters = [text[i] for i in at]
+    random.Random(len(text)).shuffle(letters)
+    out = list(text)
+    for i, c in zip(at, letters, strict=True):
+        out[i] = c
+    return "".join(out)
 
 
 def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,9 +162,21 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts, letters = _counts(s.data, s.at)
             some = np.flatnonzero(letters > 0)
             rows = [counts[i].tobytes() for i in some]
+            junk = []
+            for i in some:  # one in four, so that what is collected stays small
+                raw = s.data[s.at[i] : s.at[i + 1]].tobytes()
+                other = None
+                if zlib.crc32(raw) % 4 == 0:
+                    data = np.frombuffer(shuffled(raw.decode("utf-8", "replace")).encode(), np.uint8)
+                    other = _counts(data, np.array([0, len(data)]))[0][0].tobytes()
+                junk.append(other)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(s.lo, s.hi - s.lo).take(pa.array(some)), pa.array(rows, pa.binary())],
-                names=["lang", "counts"],
+                [
+                    b.column(0).slice(s.lo, s.hi - s.lo).take(pa.array(some)),
+                    pa.array(rows, pa.binary()),
+                    pa.array(junk, pa.binary()),
+                ],
+                names=["lang", "counts", "shuffled"],
             )
 
 
@@ -133,13 +188,13 @@ def train(
     sample: int = SAMPLE,
 ) -> Model | None:
     """Fits on at most ``sample`` labelled texts of each language, first in a seeded order of the
-    checksum of their id: rows whose id's checksum is 0 modulo 5 are never among them. Only texts of at most
-    ``SAMPLE_BYTES`` are taken, so that the fit has a bound. None if nothing can be learned."""
+    checksum of their id: rows whose id's checksum is 0 modulo 5 are never among them. Of a longer text the
+    first ``SAMPLE_BYTES`` characters are taken, so that the fit has a bound. None if nothing can be learned."""
     labelled = docs.select(
         docs[lang_col].cast("string").alias("lang"),
-        docs[text_col].cast("string").alias("text"),
+        F.substring(docs[text_col].cast("string"), 1, SAMPLE_BYTES).alias("text"),
         F.crc32(docs[id_col].cast("string").cast("binary")).alias("crc"),
-    ).where("crc % 5 <> 0 AND octet_length(text) BETWEEN 1 AND " + str(SAMPLE_BYTES))
+    ).where("crc % 5 <> 0 AND octet_length(text) > 0")
     labelled = labelled.where("lang IS NOT NULL")
     counted = labelled.groupBy("lang").count().collect()  # a row for each language
     if not counted:
@@ -152,14 +207,15 @@ def train(
         .withColumn("r", F.row_number().over(first))
         .where(F.col("r") <= sample)
         .select("lang", "text")
-        .mapInArrow(_training, "lang string, counts binary")
+        .mapInArrow(_training, "lang string, counts binary, shuffled binary")
         .collect()
     )
     if not rows:
         return None
     rows = sorted(rows, key=lambda r: (r.lang, bytes(r.counts)))
     raw = np.frombuffer(b"".join(bytes(r.counts) for r in rows), np.float32)
-    return fit(raw.reshape(len(rows), DIMS), [r.lang for r in rows])
+    bad = np.frombuffer(b"".join(bytes(r.shuffled) for r in rows if r.shuffled), np.float32)
+    return fit(raw.reshape(len(rows), DIMS), [r.lang for r in rows], shuffled=bad.reshape(-1, DIMS))
 
 
 def _predict(m: Model | None):
@@ -183,7 +239,7 @@ def _predict(m: Model | None):
                     known = letters > 0
                     lang += [m.langs[k] if ok else UNKNOWN for k, ok in zip(own, known, strict=True)]
                     score += np.where(known, top, 0.0).tolist()
-                    rejected += (~known | (top < m.floor[own])).tolist()
+                    rejected += (~known | (top < m.floor[own, _length(counts)])).tolist()
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
                 names=["id", "lang_pred", "score", "rejected"],
@@ -212,7 +268,7 @@ def languages(
     Letters are lowered, everything else is a word border; runs of 1 to 3 of them are hashed to
     ``DIMS`` dimensions, damped by the logarithm, weighed by inverse document frequency, and the
     text has the language of the nearest of all centroids. ``rejected``: no letter, or farther
-    from that centroid than a quarter of what all but one in a hundred training texts reach.
+    from that centroid than nearly all training texts of about its length (see ``_floors``).
     ``und`` is for null texts and texts without a letter, or when there is no model. Ties go to
     the first language in order. Repeated rows are rows of their own; no shuffle.
     """

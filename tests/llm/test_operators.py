@@ -203,6 +203,30 @@ def test_language(spark):
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, _, _ in rows)
 
 
+def test_language_rejects_junk(spark):
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 0")
+    model = language.train(real)
+    got = language.languages(real, model).where("held_out AND lang_pred <> 'und'").collect()
+    kept = sum(not r.rejected for r in got) / len(got)
+    r = random.Random(6)
+    long = [(x.doc_id, language.shuffled(x.text)) for x in real.where("length(text) > 400 AND lang <> 'zh'").limit(100).collect()]
+    made = [(i, " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(100))) for i in range(50)]
+    made += [(i, base64.b64encode(r.randbytes(900)).decode()) for i in range(50, 100)]
+    made += [(i, r.randbytes(400).hex()) for i in range(100, 150)]
+    rates = []
+    for rows in (long, made):
+        out = language.languages(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+        rates.append(sum(x.rejected for x in out) / len(out))
+    print(f"kept {kept:.4f} of {len(got)}, rejected {rates}")
+    assert kept > 0.97 and min(rates) > 0.9
+
+
+def test_language_learns_from_long_texts(spark):
+    rows = [(i, "abc def " * 4000 if k == "aa" else "uvw xyz " * 9, k) for i, k in enumerate(["aa", "zz"] * 20)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["aa", "zz"]
+
+
 def test_licenses(spark):
     rows = [
         (1, "intro\nReleased under the MIT License.\nbody"), (2, "Licensed under CC BY-NC 4.0."),

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
+from fraudspark.llm.bpe import round_trip
 from fraudspark.llm.common import documents
+from fraudspark.llm.conversations import repaired_conversations
 from fraudspark.llm.decontaminate import contamination
 from fraudspark.llm.hosts import HOST_RULES_SQL, host_rules
 from fraudspark.llm.jaccard import similar_documents, similar_sql
@@ -18,6 +19,7 @@ from fraudspark.llm.repeats import REPEATS_SQL, repeated_passages
 from fraudspark.llm.secrets import secret_spans
 from fraudspark.llm.sharding import byte_shards
 from fraudspark.llm.tokens import token_counts
+from fraudspark.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,9 +93,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
+def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(documents(spark, sf_dir))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
 
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # beside the package: the operators do not need it
 
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return corpus_pipeline.run(spark, sf_dir)

@@ -1,8 +1,7 @@
 """As-of look-ups for flagged events, for all of them at once.
 
-Every look-up is strictly before the event. Facts that come from labels are cut at
-``cutoff_ms``; the events looked up lie at or after it, so the label cutoff is the tighter
-bound and one aggregate per merchant or device serves every event.
+Every look-up is strictly before the event. Facts that come from labels are also cut at
+``cutoff_ms``; an event before the cutoff is given what was known at its own time.
 """
 
 from __future__ import annotations
@@ -16,8 +15,9 @@ from pyspark.sql import functions as F
 
 from fraudspark.functions.scalar import days_between, half_up
 from fraudspark.functions.text import ist_string, minutes_before
-from fraudspark.operators.ranks import exact_quantiles
+from fraudspark.operators.asof import Timeline, bound, earliest, medians
 from fraudspark.schemas import FEATURES, HOUR_MS, PUBLIC_FIELDS
+from fraudspark.sources.staging import stage
 
 HISTORY_HOURS = 336
 HISTORY_LIMIT = 60
@@ -133,29 +133,56 @@ def history_summary(
     )
 
 
-def merchant_facts(txns: DataFrame, cutoff_ms: Column) -> DataFrame:
-    """Per merchant, over resolved rows: count, distinct users, confirmed fraud rate, median.
+def merchant_facts(anchors: DataFrame, txns: DataFrame, cutoff_ms: Column) -> DataFrame:
+    """Per merchant and time of an anchor (cut at ``cutoff_ms``), over the merchant's rows strictly
+    before: count, distinct users, confirmed fraud rate, median amount.
 
-    Count-distinct aggregates in two steps and the median comes from counted amounts, so a hot
-    merchant is never one task's work.
+    A merchant without any row before the cutoff has nulls, one whose rows all come later than the
+    anchor has counts of 0. Anchors at or after the cutoff share one point per merchant.
     """
-    resolved = txns.where(F.col("ts_ms") < cutoff_ms)
-    facts = resolved.groupBy("merchant_id").agg(
-        F.count("*").alias("resolved_txns"),
-        F.count_distinct("user_id").alias("distinct_users"),
-        half_up(F.avg(F.col("is_fraud").cast("double")), 4).alias(
-            "confirmed_fraud_rate"
+    resolved = txns.where(F.col("ts_ms") < cutoff_ms).withColumnRenamed("merchant_id", "key")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    events = resolved.select(
+        "key",
+        F.col("ts_ms").alias("at"),
+        one.alias("resolved_txns"),
+        F.col("is_fraud").cast("long").alias("frauds"),
+        none.alias("distinct_users"),
+        F.col("amount").isNotNull().cast("long").alias("priced"),
+        F.col("amount").cast("double").alias("value"),
+    ).unionByName(
+        earliest(resolved, ["key", "user_id"], "ts_ms").select(
+            "key", F.col("ts_ms").alias("at"), F.col("user_id").isNotNull().cast("long").alias("distinct_users")
         ),
+        allowMissingColumns=True,
+    )
+    points = anchors.select(
+        F.col("merchant_id").alias("key"), bound(F.col("ts_ms"), cutoff_ms).alias("at")
+    )
+    line = Timeline(points, events, ["resolved_txns", "frauds", "distinct_users", "priced"])
+    totals = stage(line.totals(), "merchant-totals")
+    median = medians(line.values("priced"), totals.select(F.col("key").alias("node"), F.col("priced").alias("n")))
+    known = F.col("resolved_txns_all") > 0
+    return (
+        totals.join(median.withColumnsRenamed({"node": "key", "n": "priced"}), ["key", "priced"], "left")
+        .where(known)
+        .select(
+            F.col("key").alias("merchant_id"),
+            F.col("at").alias("known_ms"),
+            "resolved_txns",
+            "distinct_users",
+            half_up(F.try_divide(F.col("frauds").cast("double"), F.col("resolved_txns")), 4).alias(
+                "confirmed_fraud_rate"
+            ),
+            half_up(F.col("median"), 4).alias("merchant_median_amount"),
+        )
     )
-    name = "merchant_median_amount"
-    median = exact_quantiles(resolved, ["merchant_id"], "amount", {name: 0.5})
-    return facts.join(median.withColumn(name, half_up(F.col(name), 4)), "merchant_id")
 
 
 def merchant_asof(
-    anchors: DataFrame, merchants: DataFrame, facts: DataFrame
+    anchors: DataFrame, merchants: DataFrame, facts: DataFrame, cutoff_ms: Column
 ) -> DataFrame:
-    """Merchant of each anchor; unknown merchants give nulls."""
+    """Merchant of each anchor as of the event; unknown merchants give nulls."""
     profile = merchants.select(
         "merchant_id",
         F.col("category").alias("merchant_profile_category"),
@@ -164,27 +191,43 @@ def merchant_asof(
         F.col("is_online").alias("merchant_is_online"),
         F.col("created_ms"),
         F.col("category_risk").alias("category_risk_prior"),
-    ).join(facts, "merchant_id", "left")
+    )
+    known = anchors.select(
+        "txn_id", "merchant_id", "ts_ms", bound(F.col("ts_ms"), cutoff_ms).alias("known_ms")
+    ).join(profile, "merchant_id", "left")
+    listed = F.when(F.col("merchant_profile_category").isNotNull(), F.col("merchant_id"))
     return (
-        anchors.select("txn_id", "merchant_id", "ts_ms")
-        .join(profile, "merchant_id", "left")
+        known.withColumn("listed_id", listed)
+        .join(facts.withColumnRenamed("merchant_id", "listed_id"), ["listed_id", "known_ms"], "left")
         .withColumn(
             "merchant_age_days",
             half_up(days_between(F.col("ts_ms"), F.col("created_ms")), 1),
         )
-        .drop("created_ms", "ts_ms")
+        .drop("created_ms", "ts_ms", "listed_id", "known_ms")
     )
 
 
-def confirmed_device_fraud(txns: DataFrame, cutoff_ms: Column) -> DataFrame:
-    return (
-        txns.where((F.col("ts_ms") < cutoff_ms) & F.col("is_fraud"))
-        .groupBy("device_id")
-        .agg(F.count("*").alias("confirmed_fraud_txns"))
+def confirmed_device_fraud(
+    anchors: DataFrame, txns: DataFrame, cutoff_ms: Column
+) -> DataFrame:
+    """Per device and time of an anchor (cut at ``cutoff_ms``), confirmed frauds strictly before."""
+    events = txns.where((F.col("ts_ms") < cutoff_ms) & F.col("is_fraud")).select(
+        F.col("device_id").alias("key"),
+        F.col("ts_ms").alias("at"),
+        F.lit(1).cast("long").alias("confirmed_fraud_txns"),
+    )
+    points = anchors.select(
+        F.col("device_id").alias("key"), bound(F.col("ts_ms"), cutoff_ms).alias("at")
+    )
+    totals = Timeline(points, events, ["confirmed_fraud_txns"]).totals()
+    return totals.select(
+        F.col("key").alias("device_id"), F.col("at").alias("known_ms"), "confirmed_fraud_txns"
     )
 
 
-def device_asof(anchors: DataFrame, confirmed: DataFrame) -> DataFrame:
+def device_asof(
+    anchors: DataFrame, confirmed: DataFrame, cutoff_ms: Column
+) -> DataFrame:
     """Device of each anchor as of the event. Counts come from DEVICE_STATE of the anchor."""
     return (
         anchors.select(
@@ -194,8 +237,9 @@ def device_asof(anchors: DataFrame, confirmed: DataFrame) -> DataFrame:
             F.col("device_n_before").alias("device_txn_count"),
             F.col("device_users_before").cast("long").alias("device_distinct_users"),
             "device_first_before_ms",
+            bound(F.col("ts_ms"), cutoff_ms).alias("known_ms"),
         )
-        .join(confirmed, "device_id", "left")
+        .join(confirmed, ["device_id", "known_ms"], "left")
         .select(
             "txn_id",
             "device_id",

@@ -577,13 +577,13 @@ def _(x: Ctx):
 )
 def _(x: Ctx):
     w = x.work()
-    return L.merchant_asof(w.anchors(), x.t.merchants, I.merchant_facts(w))
+    return I.merchants_asof(w, stage(w.past_anchors(), "anchors"))
 
 
 @query("j_device_asof", "SELECT * FROM dasof", ["device_age_days"])
 def _(x: Ctx):
     w = x.work()
-    return L.device_asof(w.anchors(), I.device_facts(w))
+    return I.devices_asof(w, stage(w.past_anchors(), "anchors"))
 
 
 @query(

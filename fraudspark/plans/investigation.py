@@ -77,10 +77,17 @@ class CaseWork:
 
     def anchors(self) -> DataFrame:
         """Flagged events of the live window with their event, state and feature columns."""
+        return self._flagged(self.live)
+
+    def past_anchors(self) -> DataFrame:
+        """The same from the validation window on: events before the label cutoff among them."""
+        return self._flagged(self.rows.where(F.col("ts_ms") >= self.window.val_start))
+
+    def _flagged(self, rows: DataFrame) -> DataFrame:
         kept = [
             c for c in self.rows.columns if c not in ("txn_id", "ts_ms", "user_id")
         ]
-        return self.decisions(keep=kept).where("flagged")
+        return batch_score(rows, self.model, keep=kept).where("flagged")
 
     def history_rows(self) -> DataFrame:
         """Rows a history may show, with the score where the row was scored."""
@@ -131,17 +138,17 @@ def history(work: CaseWork, anchors: DataFrame) -> DataFrame:
     return L.user_history(anchors, rows, L.HISTORY_HOURS, L.HISTORY_LIMIT)
 
 
-def merchant_facts(work: CaseWork) -> DataFrame:
-    return L.merchant_facts(
-        work.rows.select("merchant_id", "user_id", "amount", "ts_ms", "is_fraud"),
-        F.lit(work.window.test_start),
-    )
+def merchants_asof(work: CaseWork, anchors: DataFrame) -> DataFrame:
+    cutoff = F.lit(work.window.test_start)
+    rows = work.rows.select("merchant_id", "user_id", "amount", "ts_ms", "is_fraud")
+    facts = L.merchant_facts(anchors, rows, cutoff)
+    return L.merchant_asof(anchors, work.tables.merchants, facts, cutoff)
 
 
-def device_facts(work: CaseWork) -> DataFrame:
-    return L.confirmed_device_fraud(
-        work.rows.select("device_id", "ts_ms", "is_fraud"), F.lit(work.window.test_start)
-    )
+def devices_asof(work: CaseWork, anchors: DataFrame) -> DataFrame:
+    cutoff = F.lit(work.window.test_start)
+    rows = work.rows.select("device_id", "ts_ms", "is_fraud")
+    return L.device_asof(anchors, L.confirmed_device_fraud(anchors, rows, cutoff), cutoff)
 
 
 def similar(work: CaseWork, anchors: DataFrame, k: int = L.NEIGHBOURS) -> DataFrame:
@@ -155,10 +162,8 @@ def dossier(work: CaseWork) -> DataFrame:
     summary = L.history_summary(
         anchors, history(work, anchors), L.HISTORY_HOURS, D.history_signals()
     )
-    merchant = L.merchant_asof(
-        anchors, work.tables.merchants, merchant_facts(work)
-    ).drop("merchant_id")
-    device = L.device_asof(anchors, device_facts(work)).drop("device_id")
+    merchant = merchants_asof(work, anchors).drop("merchant_id")
+    device = devices_asof(work, anchors).drop("device_id")
     profile = L.user_profile(anchors, work.tables.users).drop("user_id")
     share = L.fraud_share(similar(work, anchors))
     reasons = F.transform(

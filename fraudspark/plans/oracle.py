@@ -329,11 +329,16 @@ CTES: dict[str, str] = {
        count(*) FILTER (WHERE device_id = anchor_device_id) AS same_dev,
        count(*) FILTER (WHERE merchant_id = anchor_merchant_id) AS same_merch
        FROM hist GROUP BY case_txn_id""",
-    "mfacts": f"""SELECT merchant_id, count(*) AS resolved_txns,
-       count(DISTINCT user_id) AS distinct_users,
-       {hu('avg(is_fraud::int::double)', 4)} AS confirmed_fraud_rate,
-       {hu('quantile_cont(amount, 0.5)', 4)} AS merchant_median_amount
-       FROM feats, bounds WHERE ts_ms < test_start GROUP BY merchant_id""",
+    "past_anchors": f"""SELECT s.*, least(s.ts_ms, test_start) AS known_ms FROM scored s, bounds
+       WHERE ts_ms >= val_start AND score >= {CHAMPION.threshold}""",
+    "mpoints": """SELECT DISTINCT p.merchant_id, p.known_ms FROM past_anchors p WHERE EXISTS
+       (SELECT 1 FROM feats f, bounds WHERE f.merchant_id = p.merchant_id AND f.ts_ms < test_start)""",
+    "mfacts": f"""SELECT p.merchant_id, p.known_ms, count(f.txn_id) AS resolved_txns,
+       count(DISTINCT f.user_id) AS distinct_users,
+       {hu('avg(f.is_fraud::int::double)', 4)} AS confirmed_fraud_rate,
+       {hu('quantile_cont(f.amount, 0.5)', 4)} AS merchant_median_amount
+       FROM mpoints p LEFT JOIN feats f ON f.merchant_id = p.merchant_id AND f.ts_ms < p.known_ms
+       GROUP BY p.merchant_id, p.known_ms""",
     "masof": f"""SELECT a.txn_id, a.merchant_id, m.category AS merchant_profile_category,
        m.city AS merchant_city, m.country AS merchant_country,
        m.is_online AS merchant_is_online, m.category_risk AS category_risk_prior,
@@ -344,10 +349,10 @@ CTES: dict[str, str] = {
        CASE WHEN m.merchant_id IS NOT NULL THEN f.merchant_median_amount END
          AS merchant_median_amount,
        {hu(f'(a.ts_ms - m.created_ms) / {DAY}e0', 1)} AS merchant_age_days
-       FROM anchors a LEFT JOIN merchants m ON m.merchant_id = a.merchant_id
-       LEFT JOIN mfacts f ON f.merchant_id = m.merchant_id""",
-    "dconf": """SELECT device_id, count(*) AS n FROM feats, bounds
-       WHERE ts_ms < test_start AND is_fraud GROUP BY device_id""",
+       FROM past_anchors a LEFT JOIN merchants m ON m.merchant_id = a.merchant_id
+       LEFT JOIN mfacts f ON f.merchant_id = m.merchant_id AND f.known_ms = a.known_ms""",
+    "dconf": """SELECT p.txn_id, count(*) AS n FROM past_anchors p JOIN feats f
+       ON f.device_id = p.device_id AND f.ts_ms < p.known_ms AND f.is_fraud GROUP BY p.txn_id""",
     "dasof": f"""SELECT a.txn_id, a.device_id,
        CASE WHEN device_first_prior_ms < a.ts_ms THEN {ist('device_first_prior_ms')} END
          AS first_seen,
@@ -356,7 +361,7 @@ CTES: dict[str, str] = {
        a.device_n_before AS device_txn_count,
        a.device_users_before::bigint AS device_distinct_users,
        coalesce(c.n, 0) AS confirmed_fraud_txns
-       FROM anchors a LEFT JOIN dconf c ON c.device_id = a.device_id""",
+       FROM past_anchors a LEFT JOIN dconf c ON c.txn_id = a.txn_id""",
     "stats": "SELECT "
     + ", ".join(
         f"avg({f}) AS m{i}, CASE WHEN stddev_samp({f}) > 0 THEN stddev_samp({f}) ELSE 1e0 END"

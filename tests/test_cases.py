@@ -69,18 +69,19 @@ def test_history_summary_upper_median(work, anchors):
         assert list(got.at[case, "categories"]) == sorted(set(g.merchant_category))
 
 
-def test_device_and_merchant_as_of(work, all_rows, anchors):
+def test_device_and_merchant_as_of(work, all_rows):
     cut = work.window.test_start
-    dev = L.device_asof(work.anchors(), I.device_facts(work)).toPandas().set_index("txn_id")
-    mer = L.merchant_asof(work.anchors(), work.tables.merchants, I.merchant_facts(work))
-    mer = mer.toPandas().set_index("txn_id")
+    dev = I.devices_asof(work, work.past_anchors()).toPandas().set_index("txn_id")
+    mer = I.merchants_asof(work, work.past_anchors()).toPandas().set_index("txn_id")
+    anchors = work.past_anchors().toPandas()
+    assert (anchors.ts_ms < cut).any() and (anchors.ts_ms >= cut).any()
     for a in anchors.itertuples():
         g = all_rows[(all_rows.device_id == a.device_id) & (all_rows.ts_ms < a.ts_ms)]
         d = dev.loc[a.txn_id]
         assert d.device_txn_count == len(g) and d.device_distinct_users == g.user_id.nunique()
-        assert d.confirmed_fraud_txns == g[g.ts_ms < cut].is_fraud.sum()
+        assert d.confirmed_fraud_txns == g[g.ts_ms < min(cut, a.ts_ms)].is_fraud.sum()
         m = mer.loc[a.txn_id]
-        r = all_rows[(all_rows.merchant_id == a.merchant_id) & (all_rows.ts_ms < cut)]
+        r = all_rows[(all_rows.merchant_id == a.merchant_id) & (all_rows.ts_ms < min(cut, a.ts_ms))]
         if m.category_risk_prior == m.category_risk_prior and len(r):
             assert m.resolved_txns == len(r)
             assert m.merchant_median_amount == pytest.approx(r.amount.median(), abs=1e-4)

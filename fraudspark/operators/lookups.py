@@ -6,23 +6,19 @@ Every look-up is strictly before the event. Facts that come from labels are also
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fraudspark.functions.scalar import days_between, half_up
 from fraudspark.functions.text import ist_string, minutes_before
 from fraudspark.operators.asof import Timeline, bound, earliest, medians
+from fraudspark.operators.neighbours import exact_neighbours
 from fraudspark.schemas import FEATURES, HOUR_MS, PUBLIC_FIELDS
 from fraudspark.sources.staging import stage
 
 HISTORY_HOURS = 336
 HISTORY_LIMIT = 60
 NEIGHBOURS = 7
-MAX_BANK_ROWS = 8000
 
 
 def public_fields(df: DataFrame) -> DataFrame:
@@ -295,72 +291,47 @@ def transaction_card(txns: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
+def standard_vectors(rows: DataFrame, stats: dict[str, tuple[float, float]]) -> DataFrame:
+    """``id`` and ``vec``: standardised features as a vector of length 1 (a hair less, so that a
+    row at the mean has one)."""
+    z = F.array(*[(F.col(f).cast("double") - F.lit(stats[f][0])) / F.lit(stats[f][1]) for f in FEATURES])
+    norm = F.sqrt(F.aggregate("z", F.lit(0.0), lambda s, e: s + e * e)) + 1e-9
+    return rows.select(F.col("txn_id").alias("id"), z.alias("z")).select(
+        "id", F.transform("z", lambda e: e / norm).alias("vec")
+    )
+
+
 def similar_cases(
     anchors: DataFrame,
     bank: DataFrame,
     stats: dict[str, tuple[float, float]],
     k: int = 5,
 ) -> DataFrame:
-    """The k nearest resolved cases by cosine similarity of standardised features.
-
-    The bank holds 8000 rows at most, whatever the data size, so it goes to every task as one
-    matrix; a batch of anchors then takes one matrix product, and only k rows per anchor leave
-    the task. Similarities are compared at nine decimals, equal ones by txn_id.
-    """
+    """The k nearest resolved cases by cosine similarity of standardised features, over a bank of
+    any size: both sides are dealt as blocks and only k rows per anchor and block leave a task.
+    Similarities are compared at nine decimals, equal ones by txn_id."""
     if not 1 <= k <= 20:
         raise ValueError("k must be between 1 and 20")
-    cols = ["txn_id", "is_fraud", "fraud_type", *FEATURES]
-    rows = bank.select(*cols).limit(MAX_BANK_ROWS + 1).toPandas()
-    if len(rows) > MAX_BANK_ROWS:
-        raise ValueError(f"a case bank holds {MAX_BANK_ROWS} rows at most")
-    rows = rows.sort_values("txn_id", ignore_index=True)
-    mean = np.array([stats[f][0] for f in FEATURES])
-    std = np.array([stats[f][1] for f in FEATURES])
-
-    def unit(x: np.ndarray) -> np.ndarray:
-        z = (x - mean) / std
-        return z / (np.linalg.norm(z, axis=1, keepdims=True) + 1e-9)
-
-    shared = anchors.sparkSession.sparkContext.broadcast(
-        (unit(rows[FEATURES].to_numpy(dtype=float)), rows)
+    # read twice, as vectors and for the cases shown
+    bank = stage(bank.select("txn_id", "is_fraud", "fraud_type", *FEATURES), "case-bank")
+    found = exact_neighbours(standard_vectors(anchors, stats), standard_vectors(bank, stats), k)
+    shown = bank.select(
+        F.col("txn_id").alias("case_txn_id"),
+        "is_fraud",
+        "fraud_type",
+        "amount",
+        "txn_count_1h",
+        (F.col("is_new_device") > 0).alias("is_new_device"),
+        "speed_kmh",
     )
-    top = min(k, len(rows))
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matrix, known = shared.value
-        for pdf in batches:
-            for start in range(0, len(pdf) if top else 0, 512):
-                part = pdf.iloc[start : start + 512]
-                x = unit(part[FEATURES].to_numpy(dtype=float))
-                sims = np.round(x @ matrix.T, 9)
-                # Stable order: bank rows are sorted by txn_id.
-                order = np.argsort(-sims, axis=1, kind="stable")[:, :top]
-                hit = known.iloc[order.ravel()]
-                yield pd.DataFrame(
-                    {
-                        "txn_id": np.repeat(part["txn_id"].to_numpy(), top),
-                        "place": np.tile(np.arange(1, top + 1), len(part)),
-                        "case_txn_id": hit["txn_id"].to_numpy(),
-                        "similarity": np.take_along_axis(sims, order, 1).ravel(),
-                        "is_fraud": hit["is_fraud"].to_numpy(),
-                        "fraud_type": hit["fraud_type"].to_numpy(),
-                        "amount": hit["amount"].to_numpy(),
-                        "txn_count_1h": hit["txn_count_1h"].to_numpy(),
-                        "is_new_device": hit["is_new_device"].to_numpy() > 0,
-                        "speed_kmh": hit["speed_kmh"].to_numpy(),
-                    }
-                )
-
-    found = anchors.select("txn_id", *FEATURES).mapInPandas(
-        nearest,
-        "txn_id string, place long, case_txn_id string, similarity double, "
-        "is_fraud boolean, fraud_type string, amount double, txn_count_1h double, "
-        "is_new_device boolean, speed_kmh double",
-    )
-    return found.withColumn(
-        "outcome", F.when(F.col("is_fraud"), "fraud").otherwise("legit")
-    ).withColumns(
-        {c: half_up(F.col(c), 4) for c in ("similarity", "amount", "speed_kmh")}
+    return (
+        found.select(
+            F.col("id").alias("txn_id"), F.col("place").cast("long").alias("place"),
+            F.col("neighbour").alias("case_txn_id"), "similarity",
+        )
+        .join(shown, "case_txn_id")
+        .withColumn("outcome", F.when(F.col("is_fraud"), "fraud").otherwise("legit"))
+        .withColumns({c: half_up(F.col(c), 4) for c in ("similarity", "amount", "speed_kmh")})
     )
 
 

@@ -16,6 +16,7 @@ from fraudspark.operators import drift as P
 from fraudspark.operators import evals as E
 from fraudspark.operators import lookups as L
 from fraudspark.operators import metrics as M
+from fraudspark.operators import neighbours as NB
 from fraudspark.operators import sampling as SA
 from fraudspark.operators import scoring as SC
 from fraudspark.operators import validate as V
@@ -612,6 +613,44 @@ def _(x: Ctx):
     return I.similar(w, w.anchors()).drop("is_fraud")
 
 
+NEIGHBOURS_OF_VECTORS = 10
+
+
+def vectors(x: Ctx) -> tuple[DataFrame, DataFrame]:
+    """The vectors asked for, whose id is divisible by 50, and all vectors."""
+    rows = x.spark.read.parquet(f"{x.sf_dir}/embeddings.parquet").where("vec_id IS NOT NULL")
+    bank = NB.unit_vectors(rows.dropDuplicates(["vec_id"]), "vec_id", "embedding")
+    return bank.where("id % 50 = 0"), bank
+
+
+@query(
+    "similar_vectors",
+    f"""SELECT vec_id, neighbour, place, round_even(similarity, 9) AS similarity FROM
+       (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, neighbour)
+          AS place FROM
+         (SELECT q.vec_id, b.vec_id AS neighbour, round_even(
+             list_dot_product(q.embedding::double[], b.embedding::double[])
+             / (sqrt(list_dot_product(q.embedding::double[], q.embedding::double[]))
+                * sqrt(list_dot_product(b.embedding::double[], b.embedding::double[]))), 9)
+             AS similarity
+          FROM embeddings q JOIN embeddings b ON q.vec_id % 50 = 0 AND q.vec_id <> b.vec_id))
+       WHERE place <= {NEIGHBOURS_OF_VECTORS}""",
+    ["similarity"],
+)
+def _(x: Ctx):
+    found = NB.exact_neighbours(*vectors(x), NEIGHBOURS_OF_VECTORS, skip_self=True)
+    return found.withColumnRenamed("id", "vec_id")
+
+
+@query("similar_vectors_indexed")
+def _(x: Ctx):
+    asked, bank = vectors(x)
+    index = NB.build_index(bank)
+    probes = NB.probes_for(index, NEIGHBOURS_OF_VECTORS)
+    found = NB.indexed_neighbours(index, asked, NEIGHBOURS_OF_VECTORS, probes, skip_self=True)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 @query(
     "j_transaction_card",
     f"""SELECT t.txn_id, {O.hu('t.amount', 4)} AS amount, {O.ist('t.ts_ms')} AS "when",

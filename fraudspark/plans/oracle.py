@@ -608,6 +608,8 @@ def sql(final: str, doubles: list[str] = ()) -> str:
             f"floor({c} * 1e{DIGITS} + {SHIFT}::double) / 1e{DIGITS} AS {c}" for c in doubles
         )
         out = f"SELECT * REPLACE ({grid}) FROM ({final})"
+    if not chain:
+        return out
     if out.startswith("WITH "):
         return f"WITH {chain}, {out[5:]}"
     return f"WITH {chain} {out}"

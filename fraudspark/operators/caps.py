@@ -15,10 +15,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import exp, sqrt
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fraudspark.operators.skew import (
@@ -100,11 +101,10 @@ def _replay(cap: int):
     return run
 
 
-def replay(
-    txns: DataFrame, over: Overflow, s: KnownSet, replay_rows: int = REPLAY_ROWS
-) -> DataFrame:
-    """(txn_id, known_ms, size) for all rows of the keys: since when the member has been known
-    (null when new) and the size of the set with it."""
+def _rounds(
+    txns: DataFrame, over: Overflow, s: KnownSet, replay_rows: int
+) -> tuple[DataFrame, DataFrame]:
+    """Replayed events of the keys, and the members each key knows after its last event."""
     policy = SkewPolicy(hot_rows=replay_rows, chunk_rows=replay_rows)
     rows = txns.select(s.key, s.member, "ts_ms", "txn_id").join(
         over.keys, s.key, "left_semi"
@@ -130,7 +130,7 @@ def replay(
         sliced = stage(sliced, "replay-slices")
         rounds = int(sliced.agg(F.max("slice")).first()[0]) + 1
 
-    done, carried = [], None
+    done, ended, carried = [], [], None
     for i in range(rounds):
         part = sliced.where(F.col("slice") == i).drop("slice")
         if carried is not None:
@@ -140,20 +140,58 @@ def replay(
             .sortWithinPartitions("key", "kind", "ts_ms", "txn_id")
             .mapInPandas(_replay(s.cap), REPLAY_SCHEMA)
         )
+        kept = out.where(F.col("kind") == CARRIED)
         if rounds > 1:
             out = stage(out, "replay")
             # Only keys with a later slice need their set again.
             later = sliced.where(F.col("slice") > i).select("key").distinct()
-            carried = (
-                out.where(F.col("kind") == CARRIED)
-                .select("key", "member", "ts_ms", "txn_id", "kind")
-                .join(later, "key", "left_semi")
+            kept = out.where(F.col("kind") == CARRIED)
+            carried = kept.select("key", "member", "ts_ms", "txn_id", "kind").join(
+                later, "key", "left_semi"
             )
+            kept = kept.join(later, "key", "left_anti")
         done.append(out.where(F.col("kind") == EVENT))
-    result = done[0]
-    for d in done[1:]:
-        result = result.unionByName(d)
-    return result.select("txn_id", "known_ms", "size")
+        ended.append(kept)
+    return reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, ended)
+
+
+def replay(
+    txns: DataFrame, over: Overflow, s: KnownSet, replay_rows: int = REPLAY_ROWS
+) -> DataFrame:
+    """(txn_id, known_ms, size) for all rows of the keys: since when the member has been known
+    (null when new) and the size of the set with it."""
+    events, _ = _rounds(txns, over, s, replay_rows)
+    return events.select("txn_id", "known_ms", "size")
+
+
+def snapshot(txns: DataFrame, s: KnownSet, replay_rows: int = REPLAY_ROWS) -> DataFrame:
+    """The set of each key after all its rows: key, member, ``first_ms`` (since when it is known)
+    and ``seq``, 1 for the member that goes first.
+
+    A set that never exceeded its cap holds every member from its first row on. One that did is
+    replayed, as what it holds depends on what it forgot. Members are counted exactly.
+    """
+    first = stage(
+        txns.groupBy(s.key, s.member)
+        .agg(F.min(F.struct("ts_ms", "txn_id")).alias("f"), F.count("*").alias("rows"))
+        .select(s.key, s.member, "f.ts_ms", "f.txn_id", "rows"),
+        "known-members",
+    )
+    sizes = first.groupBy(s.key).agg(F.count("*").alias("members"), F.sum("rows").alias("rows"))
+    over = stage(sizes.where(F.col("members") > s.cap).select(s.key, "rows"), "known-overflow")
+    largest = over.agg(F.max("rows")).first()[0]
+    known = first.select(s.key, s.member, "ts_ms", "txn_id")
+    if largest is not None:
+        keys = over.select(s.key)
+        _, ended = _rounds(txns, Overflow(keys, largest), s, replay_rows)
+        held = ended.select(
+            F.col("key").alias(s.key), F.col("member").alias(s.member), "ts_ms", "txn_id"
+        )
+        known = known.join(keys, s.key, "left_anti").unionByName(held)
+    order = Window.partitionBy(s.key).orderBy("ts_ms", "txn_id")
+    return known.select(
+        s.key, s.member, F.col("ts_ms").alias("first_ms"), F.row_number().over(order).alias("seq")
+    )
 
 
 # Words of 64 bits per known-set sketch.

@@ -7,17 +7,17 @@ State is bounded: 24 hours and 500 events, 50 devices, 300 merchants, 200 accoun
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import pairwise
-from math import sqrt
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from fraudspark.operators.caps import REPLAY_ROWS, SETS, snapshot
 from fraudspark.schemas import (
     DAY_MS,
     DEVICE_USERS_CAP,
@@ -28,7 +28,9 @@ from fraudspark.schemas import (
     SMALL_AMOUNT,
     WIRE,
 )
+from fraudspark.sources.staging import stage
 
+DEVICES, SHOPS, ACCOUNTS = SETS
 DEVICE_STATE_SCHEMA = "users array<string>, first_ms bigint, n bigint"
 LISTS = {
     "recent_ms": T.LongType(),
@@ -86,15 +88,58 @@ def _in_order(chunks: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(chunks)).sort_values(["ts_ms", "txn_id"], ignore_index=True)
 
 
-def _frame(rows: pd.DataFrame, seen: list[tuple], fields: T.StructType) -> pd.DataFrame:
-    extra = pd.DataFrame(seen, columns=fields.fieldNames())
-    for f in fields:
-        kind = f.dataType.typeName()
-        if kind == "long":
-            extra[f.name] = extra[f.name].astype("Int64")
-        elif kind == "double":
-            extra[f.name] = extra[f.name].astype("float64")
-    return pd.concat([rows.reset_index(drop=True), extra], axis=1)
+def _joined(rows: pd.DataFrame, seen: dict[str, object], fields: T.StructType) -> pd.DataFrame:
+    kinds = {"long": "Int64", "double": "float64"}
+    extra = {
+        f.name: pd.Series(seen[f.name], dtype=kinds.get(f.dataType.typeName(), object))
+        for f in fields
+    }
+    return pd.concat([rows, pd.DataFrame(extra)], axis=1)
+
+
+@dataclass
+class Members:
+    """A bounded set in the order of its sequence numbers: the member in front goes first.
+    ``by_time``: the one that came at the earliest time goes first, which is the one in front
+    unless events came late."""
+
+    names: list
+    since: list
+    cap: int
+    by_time: bool = False
+
+    def meet(self, names: np.ndarray, times: np.ndarray) -> tuple[list, np.ndarray]:
+        """For each row, since when its member was known before it (None: new), and how many are
+        known with it. A batch that cannot overflow the set is one pass over arrays."""
+        codes, distinct = pd.factorize(names)
+        place = {m: i for i, m in enumerate(self.names)}
+        known = np.array([place.get(m, -1) for m in distinct], np.int64)
+        if len(self.names) + int((known < 0).sum()) > self.cap:
+            return self._one_by_one(names, times)
+        _, first = np.unique(codes, return_index=True)
+        came = times[first]
+        if self.since:
+            came = np.where(known >= 0, np.array(self.since, np.int64)[known], came)
+        rows = np.arange(len(codes))
+        fresh = (known[codes] < 0) & (first[codes] == rows)
+        size = len(self.names) + np.cumsum(fresh)
+        since = came[codes].astype(object)
+        since[fresh] = None
+        self.names += [distinct[c] for c in codes[fresh]]
+        self.since += times[fresh].tolist()
+        return since.tolist(), size
+
+    def _one_by_one(self, names: np.ndarray, times: np.ndarray) -> tuple[list, np.ndarray]:
+        held = dict(zip(self.names, self.since, strict=True))
+        since, size = [], np.empty(len(names), np.int64)
+        for i, (name, at) in enumerate(zip(names.tolist(), times.tolist(), strict=True)):
+            since.append(held.get(name))
+            size[i] = len(held) + (name not in held)
+            held.setdefault(name, at)
+            if size[i] > self.cap:
+                del held[min(held, key=held.__getitem__) if self.by_time else next(iter(held))]
+        self.names, self.since = list(held), list(held.values())
+        return since, size
 
 
 class DeviceHistory(StatefulProcessor):
@@ -110,23 +155,123 @@ class DeviceHistory(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _in_order(rows)
         users, first, n = self.state.get() if self.state.exists() else ([], None, 0)
-        users = list(users)
-        seen = []
-        for r in batch.itertuples(index=False):
-            fresh = r.user_id not in users
-            seen.append((n + 1, first, float(len(users) + fresh)))
-            if fresh:
-                users.append(r.user_id)
-                del users[:-DEVICE_USERS_CAP]
-            first = r.ts_ms if first is None else first
-            n += 1
-        self.state.update((users, int(first), n))
-        yield _frame(batch, seen, DEVICE_FIELDS)
+        accounts = Members(list(users), [0] * len(users), DEVICE_USERS_CAP)
+        times = batch["ts_ms"].to_numpy(np.int64)
+        _, size = accounts.meet(batch["user_id"].to_numpy(object), times)
+        begun = [first if n else None] + [first if n else int(times[0])] * (len(batch) - 1)
+        seen = {
+            "device_row_no": n + 1 + np.arange(len(batch)),
+            "device_first_ms": begun,
+            "device_users": size,
+        }
+        self.state.update((accounts.names, first if n else int(times[0]), n + len(batch)))
+        yield _joined(batch, seen, DEVICE_FIELDS)
 
     def close(self) -> None:
         pass
 
 
+@dataclass
+class Account:
+    """What an account's events so far amount to; ``fold`` takes a run of events at once."""
+
+    n: int
+    mean: float
+    m2: float
+    times: np.ndarray
+    amounts: np.ndarray
+    devices: Members
+    shops: Members
+    first: int | None
+    last: tuple
+
+    def run_length(self, times: np.ndarray) -> int:
+        """How many of the sorted events can be folded at once: all of them if none is older than
+        what is kept, else one by one until the kept events are in order again."""
+        kept = self.times
+        in_order = not len(kept) or (np.all(kept[1:] >= kept[:-1]) and times[0] >= kept[-1])
+        return len(times) if in_order else 1
+
+    def fold(self, rows: pd.DataFrame) -> dict[str, object]:
+        t = rows["ts_ms"].to_numpy(np.int64)
+        a = rows["amount"].to_numpy(float)
+        size = len(rows)
+        seen: dict[str, object] = {"row_no": self.n + 1 + np.arange(size)}
+        seen |= self._moments(a)
+        seen |= self._windows(t, a)
+        for name, place in zip(("ms", "lat", "lon", "city"), range(4), strict=True):
+            column = "ts_ms" if name == "ms" else name
+            seen[f"prev_{name}"] = [self.last[place], *rows[column].tolist()[:-1]]
+        seen["first_ms"] = [self.first] + [int(t[0]) if self.first is None else self.first] * (size - 1)
+        known, many = self.devices.meet(rows["device_id"].to_numpy(object), t)
+        seen |= {"user_device_first_ms": known, "user_devices": many}
+        known, many = self.shops.meet(rows["merchant_id"].to_numpy(object), t)
+        shop = [None if k is None else f for k, f in zip(known, seen["first_ms"], strict=True)]
+        seen |= {"user_merchant_first_ms": shop, "user_merchants": many}
+        self.n += size
+        self.first = int(t[0]) if self.first is None else self.first
+        newest = rows.iloc[-1]
+        self.last = (int(t[-1]), newest["lat"], newest["lon"], newest["city"])
+        return seen
+
+    def _moments(self, a: np.ndarray) -> dict[str, np.ndarray]:
+        """Mean and deviation before each event, by sums of distances from the mean so far."""
+        at = self.mean if self.n else a[0]
+        d = a - at
+        s, q = np.cumsum(d), np.cumsum(d * d)
+        before = self.n + np.arange(len(a))
+        s0, q0 = np.concatenate(([0.0], s[:-1])), np.concatenate(([0.0], q[:-1]))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = np.where(before > 0, at + s0 / before, np.nan)
+            spread = np.maximum(self.m2 + q0 - s0 * s0 / before, 0.0)
+            deviation = np.where(before > 1, np.sqrt(spread / (before - 1)), np.nan)
+        n = self.n + len(a)
+        self.mean, self.m2 = float(at + s[-1] / n), float(max(self.m2 + q[-1] - s[-1] ** 2 / n, 0.0))
+        return {"mean_prior": mean, "std_prior": deviation}
+
+    def _windows(self, t: np.ndarray, a: np.ndarray) -> dict[str, np.ndarray]:
+        """Counts and sums over the last hour and day, of the 500 newest events at most."""
+        times, amounts = np.concatenate((self.times, t)), np.concatenate((self.amounts, a))
+        here = len(self.times) + np.arange(len(t))
+        if len(t) == 1:  # what is kept may be out of order
+            age = t[0] - self.times
+            spans = [(age >= 0) & (age < width) for width in (HOUR_MS, DAY_MS)]
+            hour, day = (np.flatnonzero(x) for x in spans)
+            out = [len(hour), len(day), self.amounts[day].sum(), (self.amounts[hour] < SMALL_AMOUNT).sum()]
+            out = [np.array([v], float) for v in out]
+        else:
+            start = [
+                np.maximum(np.searchsorted(times, t - width, "right"), here - RECENT_CAP)
+                for width in (HOUR_MS, DAY_MS)
+            ]
+            total = np.concatenate(([0.0], np.cumsum(amounts)))
+            small = np.concatenate(([0], np.cumsum(amounts < SMALL_AMOUNT)))
+            out = [here - start[0], here - start[1], total[here] - total[start[1]], small[here] - small[start[0]]]
+        kept = times > t[-1] - DAY_MS
+        kept[-1] = True
+        self.times, self.amounts = times[kept][-RECENT_CAP:], amounts[kept][-RECENT_CAP:]
+        return dict(zip(("count_1h", "count_24h", "sum_24h", "small_1h"), out, strict=True))
+
+    def row(self) -> tuple:
+        return (
+            self.n, self.mean, self.m2, self.times.tolist(), self.amounts.tolist(),
+            self.devices.names, [int(v) for v in self.devices.since], self.shops.names,
+            self.first, self.last[0], float(self.last[1]), float(self.last[2]), self.last[3],
+        )
+
+    @classmethod
+    def of(cls, row: tuple | None) -> Account:
+        if row is None:
+            row = (0, 0.0, 0.0, [], [], [], [], [], None, None, None, None, None)
+        n, mean, m2, times, amounts, ids, since, shops, first, *last = row
+        return cls(
+            n, mean, m2, np.array(times, np.int64), np.array(amounts, float),
+            Members(list(ids), list(since), KNOWN_DEVICES_CAP, by_time=True),
+            Members(list(shops), [0] * len(shops), KNOWN_MERCHANTS_CAP),
+            first, tuple(last),
+        )
+
+
 class UserHistory(StatefulProcessor):
     """Amounts, recent events, devices, merchants and last place of an account."""
 
@@ -145,78 +290,20 @@ class UserHistory(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _in_order(rows)
-        if self.state.exists():
-            (n, mean, m2, times, amounts, ids, since, shops, first, last, lat, lon, city) = (
-                self.state.get()
-            )
-            times, amounts, shops = list(times), list(amounts), list(shops)
-            devices = dict(zip(ids, since))
-        else:
-            n, mean, m2, first, last, lat, lon, city = 0, 0.0, 0.0, None, None, None, None, None
-            times, amounts, shops, devices = [], [], [], {}
-        # A late event leaves the list out of time order; windows are then tested one by one.
-        ordered = all(a <= b for a, b in pairwise(times))
-        seen = []
-        for r in batch.itertuples(index=False):
-            ordered = ordered and (not times or r.ts_ms >= times[-1])
-            day = _since(times, amounts, r.ts_ms, DAY_MS, ordered)
-            hour = _since(times, amounts, r.ts_ms, HOUR_MS, ordered)
-            known = r.merchant_id in shops
-            seen.append(
-                (
-                    n + 1,
-                    mean if n else None,
-                    sqrt(max(m2, 0.0) / (n - 1)) if n > 1 else None,
-                    float(len(hour)),
-                    float(len(day)),
-                    float(sum(day)),
-                    float(sum(a < SMALL_AMOUNT for a in hour)),
-                    last,
-                    lat,
-                    lon,
-                    city,
-                    first,
-                    devices.get(r.device_id),
-                    float(len(devices) + (r.device_id not in devices)),
-                    first if known else None,
-                    float(len(shops) + (not known)),
-                )
-            )
-            n += 1
-            step = r.amount - mean
-            mean += step / n
-            m2 += step * (r.amount - mean)
-            keep = [i for i, t in enumerate(times) if t > r.ts_ms - DAY_MS]
-            times = [times[i] for i in keep][1 - RECENT_CAP :] + [r.ts_ms]
-            amounts = [amounts[i] for i in keep][1 - RECENT_CAP :] + [r.amount]
-            if r.device_id not in devices:
-                devices[r.device_id] = r.ts_ms
-                if len(devices) > KNOWN_DEVICES_CAP:
-                    devices.pop(min(devices, key=devices.__getitem__))
-            if not known:
-                shops = (shops + [r.merchant_id])[-KNOWN_MERCHANTS_CAP:]
-            first = r.ts_ms if first is None else first
-            last, lat, lon, city = r.ts_ms, r.lat, r.lon, r.city
-        self.state.update(
-            (
-                n, mean, m2, [int(t) for t in times], [float(a) for a in amounts],
-                list(devices), [int(v) for v in devices.values()], shops,
-                int(first), int(last), float(lat), float(lon), city,
-            )
-        )
-        yield _frame(batch, seen, USER_FIELDS)
+        account = Account.of(self.state.get() if self.state.exists() else None)
+        times = batch["ts_ms"].to_numpy(np.int64)
+        done = 0
+        while done < len(batch):
+            size = account.run_length(times[done:])
+            part = batch.iloc[done : done + size].reset_index(drop=True)
+            yield _joined(part, account.fold(part), USER_FIELDS)
+            done += size
+        self.state.update(account.row())
 
     def close(self) -> None:
         pass
 
 
-def _since(times: list, amounts: list, now: int, width: int, ordered: bool) -> list:
-    """Amounts of the events in (now - width, now]."""
-    if ordered:
-        return amounts[bisect_right(times, now - width) :]
-    return [a for t, a in zip(times, amounts) if now - width < t <= now]
-
-
 def with_device_state(events: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     return events.groupBy("device_id").transformWithStateInPandas(
         DeviceHistory(),
@@ -240,47 +327,30 @@ def with_user_state(events: DataFrame, initial: DataFrame | None = None) -> Data
 # --- state of a history, built in batch ---
 
 
-def warm_device_state(history: DataFrame) -> DataFrame:
-    """(device_id, users, first_ms, n). The user list is cut to its cap before it is collected."""
-    w = Window.partitionBy("device_id").orderBy(F.desc("first_ms"), F.desc("first_id"))
-    members = (
-        history.groupBy("device_id", "user_id")
-        .agg(F.min(F.struct("ts_ms", "txn_id")).alias("f"))
-        .select("device_id", "user_id", F.col("f.ts_ms").alias("first_ms"),
-                F.col("f.txn_id").alias("first_id"))
-        .withColumn("age", F.row_number().over(w))
-        .where(F.col("age") <= DEVICE_USERS_CAP)
+def _in_sequence(members: DataFrame, key: str, *fields: str) -> DataFrame:
+    """Members of each key as a list in the order in which they go. A list holds a cap at most."""
+    return members.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("seq", *fields))).alias("k")
     )
-    lists = members.groupBy("device_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("first_ms", "first_id", "user_id"))),
-            lambda x: x["user_id"],
-        ).alias("users")
+
+
+def warm_device_state(history: DataFrame, replay_rows: int = REPLAY_ROWS) -> DataFrame:
+    """(device_id, users, first_ms, n), as the stream would hold it after the history: a user list
+    that has overflowed is the one that its evictions left."""
+    members = snapshot(history, ACCOUNTS, replay_rows)
+    lists = _in_sequence(members, "device_id", "user_id").select(
+        "device_id", F.transform("k", lambda x: x["user_id"]).alias("users")
     )
     totals = history.groupBy("device_id").agg(
         F.min("ts_ms").alias("first_ms"), F.count("*").alias("n")
     )
-    return lists.join(totals, "device_id")
-
-
-def _known(history: DataFrame, member: str, cap: int) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy(F.desc("first_ms"), F.desc("first_id"))
-    rows = (
-        history.groupBy("user_id", member)
-        .agg(F.min(F.struct("ts_ms", "txn_id")).alias("f"))
-        .select("user_id", member, F.col("f.ts_ms").alias("first_ms"),
-                F.col("f.txn_id").alias("first_id"))
-        .withColumn("age", F.row_number().over(w))
-        .where(F.col("age") <= cap)
-    )
-    return rows.groupBy("user_id").agg(
-        F.array_sort(F.collect_list(F.struct("first_ms", "first_id", member))).alias("k")
-    )
+    return stage(lists.join(totals, "device_id"), "warm-devices")
 
 
-def warm_user_state(history: DataFrame) -> DataFrame:
-    """One USER_STATE_SCHEMA row per account. Every list is cut to its cap by a ranked filter
-    before it is collected."""
+def warm_user_state(history: DataFrame, replay_rows: int = REPLAY_ROWS) -> DataFrame:
+    """One USER_STATE_SCHEMA row per account, as the stream would hold it after the history. Recent
+    events are cut to their cap by a ranked filter before they are collected. Written once: every
+    micro-batch plans its initial state anew."""
     last = F.max_by(F.struct("ts_ms", "lat", "lon", "city"), F.struct("ts_ms", "txn_id"))
     totals = (
         history.groupBy("user_id")
@@ -307,13 +377,13 @@ def warm_user_state(history: DataFrame) -> DataFrame:
         .groupBy("user_id")
         .agg(F.array_sort(F.collect_list(F.struct("ts_ms", "txn_id", "amount"))).alias("r"))
     )
-    devices = _known(history, "device_id", KNOWN_DEVICES_CAP)
-    shops = _known(history, "merchant_id", KNOWN_MERCHANTS_CAP)
+    devices = _in_sequence(snapshot(history, DEVICES, replay_rows), "user_id", "device_id", "first_ms")
+    shops = _in_sequence(snapshot(history, SHOPS, replay_rows), "user_id", "merchant_id")
 
     def part(name: str, field: str):
         return F.transform(name, lambda x: x[field])
 
-    return (
+    state = (
         totals.join(recent, "user_id")
         .join(devices.withColumnRenamed("k", "d"), "user_id")
         .join(shops.withColumnRenamed("k", "s"), "user_id")
@@ -325,3 +395,4 @@ def warm_user_state(history: DataFrame) -> DataFrame:
             "first_ms", "last_ms", "last_lat", "last_lon", "last_city",
         )
     )
+    return stage(state, "warm-accounts")

@@ -63,6 +63,62 @@ def test_sets_overflow_on_the_stream(spark, tmp_path):
     check(out.toPandas(), brute_replay(rows), STREAMED)
 
 
+def capped_rows():
+    """One account past every cap of its own, one device past its accounts."""
+    rows = [
+        txn(i, T0 + i * 60_000, 10 + i % 7, device_id=f"D{(i * 5 + i // 70) % 67}", merchant_id=f"M{i * 7 % 341}")
+        for i in range(1300)
+    ]
+    rows += [
+        txn(5000 + i, T0 + i * 90_000 + 5, 20, user_id=f"U{i * 3 % 251}x", device_id="RING")
+        for i in range(800)
+    ]
+    return rows
+
+
+@pytest.mark.parametrize("replay_rows", [5_000_000, 150])
+def test_warm_start_past_every_cap(spark, tmp_path, replay_rows):
+    spark.conf.set(J.PROVIDER, J.ROCKSDB)
+    rows = sorted(capped_rows(), key=lambda r: (r["ts_ms"], r["txn_id"]))
+    old, new = rows[:1500], rows[1500:]
+    path = str(tmp_path / "in")
+    write_parts(spark, new, path, 2)
+    history = frame(spark, old).select(*WIRE_COLUMNS).repartition(5)
+    devices = ST.with_device_state(
+        stream(spark, path), ST.warm_device_state(history, replay_rows)
+    )
+    out = J.run_to_table(
+        ST.with_user_state(devices, ST.warm_user_state(history, replay_rows)), "warm"
+    )
+    want = brute_replay(rows)
+    assert max(w["user_devices"] for w in want.values()) > 50
+    assert max(w["device_users"] for w in want.values()) > 200
+    check(out.toPandas(), {r["txn_id"]: want[r["txn_id"]] for r in new}, STREAMED)
+
+
+def test_late_events_see_what_is_kept(spark, tmp_path):
+    """Windows of an event that comes late, and of those after it, hold the kept events whose time
+    is in them."""
+    spark.conf.set(J.PROVIDER, J.ROCKSDB)
+    hour = 3_600_000
+    first = [txn(i, T0 + i * hour // 2, 10 + i) for i in range(8)]
+    late = [txn(20, T0 + hour // 4, 50), txn(21, T0 + 2 * hour, 60), txn(22, T0 + 5 * hour, 70)]
+    path = str(tmp_path / "in")
+    for part in (first, late):
+        frame(spark, part).select(*WIRE_COLUMNS).coalesce(1).write.mode("append").parquet(path)
+    out = J.run_to_table(ST.with_user_state(ST.with_device_state(stream(spark, path))), "late")
+    got = {r["txn_id"]: r for r in out.collect()}
+    arrived = []
+    for r in first + late:
+        g = got[r["txn_id"]]
+        near = [p for p in arrived if r["ts_ms"] - hour < p["ts_ms"] <= r["ts_ms"]]
+        day = [p for p in arrived if p["ts_ms"] <= r["ts_ms"]]
+        assert (g["count_1h"], g["count_24h"]) == (len(near), len(day))
+        assert g["sum_24h"] == pytest.approx(sum(p["amount"] for p in day))
+        assert g["row_no"] == len(arrived) + 1
+        arrived.append(r)
+
+
 def scoring(spark, path, sinks, promotions, users, merchants):
     good = J.good_rows(J.checked_stream(J.payload_stream(spark, path, 1)))
     J.start_scoring(

@@ -93,7 +93,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 _P, _Q = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-_POW = np.cumprod(np.full(LONG_WORD, _P, U64), dtype=U64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -105,6 +104,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
+#: A number for each byte at each place of a word. Sums of them have no structure in the letters,
+#: which powers of one base modulo 2^64 do.
+_PLACED = mix64(mix64(np.arange(1, 256 * LONG_WORD + 1, dtype=U64) * U64(_P)) ^ U64(_Q))
+
+
 @dataclass
 class Words:
     """Words of a slice in order: byte bounds, a 64-bit hash, and each text's first word (one
@@ -147,7 +151,7 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1
         a, b = start[lo], end[hi - 1]
         inner = np.arange(a, b) - np.repeat(start[lo:hi], np.diff(np.append(start[lo:hi], b)))
         kept = inner < np.repeat(size[lo:hi], np.diff(np.append(start[lo:hi], b)))
-        v = (data[a:b].astype(U64) + U64(1)) * _POW[np.minimum(inner, LONG_WORD - 1)] * kept
+        v = _PLACED[np.minimum(inner, LONG_WORD - 1) * 256 + data[a:b]] * kept
         out[lo:hi] = np.add.reduceat(v, start[lo:hi] - a)
     out = mix64(out + size.astype(U64) * U64(_Q))
     for i in np.flatnonzero(size >= LONG_WORD):
@@ -157,20 +161,19 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1
 
 
 def runs(h: np.ndarray, k: int) -> np.ndarray:
-    """The hash of each ``k`` hashes in a row, one for each start that has them."""
+    """The hash of each ``k`` hashes in a row, one for each start that has them: of runs of 1, 2,
+    4, ... hashes, two at a time, mixed at each step."""
     if len(h) < k:
         return np.zeros(0, U64)
     size, part, done, out = 1, h, 0, None
-    power = U64(_Q)
     n = len(h) - k + 1
     for bit in bin(k)[:1:-1]:
         if bit == "1":
             piece = part[done : done + n]
-            out = piece.copy() if out is None else out * power + piece
+            out = piece if out is None else mix64(out * U64(_Q) + piece)
             done += size
         if done < k:
-            part = part[: len(part) - size] * power + part[size:]
-            power = U64(int(power) ** 2 % (1 << 64))
+            part = mix64(part[: len(part) - size] * U64(_P) + part[size:])
             size *= 2
     return mix64(out + U64(k))
 

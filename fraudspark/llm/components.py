@@ -30,7 +30,8 @@ def components(links: DataFrame) -> DataFrame:
         return stage(out.distinct(), "star-edges")
 
     def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first())
+        edge = F.xxhash64("u", "v")
+        return tuple(e.agg(F.count("*"), F.bit_xor(edge), F.sum(edge.cast("decimal(38,0)"))).first())
 
     edges = stage(
         links.where("u <> v")

@@ -30,6 +30,10 @@ OFTEN, MOST_OFTEN, COUNTED = 8, 1 << 16, 1 << 20
 LEAF = 16
 TILE = 512
 BLOCK = 1 << 10
+#: Rows of a block whose pairs are named and verified apart; larger ones are verified where they are.
+SMALL = 48
+#: Tokens of the sets that a tile holds, and groups of the finer points there.
+TOKENS, FINE = 1 << 20, 4096
 
 
 def _sets(s: Slice, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -252,28 +256,30 @@ def tree_join(
 
 
 def block_jobs(rows: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Deals blocks (token, f1, n, comp; ``c`` is the block's rows) out as jobs of at most two tiles:
-    token, x, y, tile, f1. Every two rows of a block that differ in component and may be similar by
-    size meet in a job.
+    """Deals blocks (token, f1, n, comp) out as jobs of at most two tiles: token, x, y, tile, f1.
+    Every two rows of a block that differ in component and may be similar by size meet in a job.
 
-    A block of at most ``block`` rows is one tile. A larger one is cut by classes of size, so that
-    sizes two classes apart are never similar; in a class, a component of more than ``block`` rows
+    A block of at most ``block`` rows and ``TOKENS`` tokens is one tile. A larger one is cut by classes of size, so that
+    sizes two classes apart are never similar; in a class, a component too large for a tile
     has tiles of its own, dealt by hash, and the others share tiles by the hash of the component. A
     job is a pair of tiles (or one, x = y) whose sizes may be similar and that are not of one
     component alone.
     """
     none = F.lit(0).cast("long")
-    whole = rows.where(F.col("c") <= block).select(
+    rows = rows.select("token", "f1", "n", "comp").withColumn("w", F.greatest(F.lit(1 / block), F.col("n") / TOKENS))
+    total = rows.groupBy("token").agg(F.sum("w").alias("c"))
+    rows = stage(rows.join(total, "token"), "large-members")
+    whole = rows.where(F.col("c") <= 1).select(
         "token", none.alias("x"), none.alias("y"), none.alias("tile"), "f1"
     )
     size = F.floor(F.log("n") / (math.log(100 / percent) * (1 + 1e-9))) if percent < 100 else F.col("n")
-    hot = stage(rows.where(F.col("c") > block).withColumn("size", size), "hot-members")
-    units = stage(hot.groupBy("token", "size", "comp").agg(F.count("*").alias("m")), "hot-units")
-    few = F.col("m") <= block
-    parts = units.where(few).groupBy("token", "size").agg(F.ceil(F.sum("m") / block).alias("parts"))
+    hot = stage(rows.where(F.col("c") > 1).withColumn("size", size), "hot-members")
+    units = stage(hot.groupBy("token", "size", "comp").agg(F.sum("w").alias("m")), "hot-units")
+    few = F.col("m") <= 1
+    parts = units.where(few).groupBy("token", "size").agg(F.ceil(F.sum("m")).alias("parts"))
     units = units.join(parts, ["token", "size"], "left").select(
         "token", "size", "comp", few.alias("few"),
-        F.when(few, F.col("parts")).otherwise(F.ceil(F.col("m") / block)).alias("parts"),
+        F.when(few, F.col("parts")).otherwise(F.ceil(F.col("m"))).alias("parts"),
     )
     key = F.when(F.col("few"), F.xxhash64("comp")).otherwise(F.xxhash64("f1"))
     own = F.when(F.col("few"), F.lit(-1).cast("long")).otherwise(F.col("comp"))
@@ -296,28 +302,17 @@ def block_jobs(rows: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     return whole.union(hot.join(need, ["token", "tile"]).select("token", "x", "y", "tile", "f1"))
 
 
-def _blocks(percent: int):
-    """Whole jobs (rows come in order of token and tiles) through the tree."""
-    keys = ("token", "x", "y")
+def _jobs(keys: tuple[str, ...], solve):
+    """Whole jobs, rows of equal keys, one after another; rows come in order of the keys. ``solve``
+    gives pairs of nodes."""
 
-    def solve(t: pa.Table) -> pa.RecordBatch:
+    def solved(t: pa.Table) -> pa.RecordBatch:
         at = [t.column(c).to_numpy() for c in keys]
-        node, n, comp, tile = (t.column(c).to_numpy() for c in ("node", "n", "comp", "tile"))
-        vec = _vectors(t.column("vec").combine_chunks())
-        new = np.any([k[1:] != k[:-1] for k in at], axis=0)
-        cuts = np.flatnonzero(np.append(True, new))
-        left, right = [], []
-        for lo, hi in zip(cuts, np.append(cuts[1:], len(node)), strict=True):
-            if hi - lo > 1:
-                one = at[1][lo] == at[2][lo]
-                side = None if one else (tile[lo:hi] != at[1][lo]).astype(np.int64)
-                x, y = tree_join(n[lo:hi], vec[lo:hi], comp[lo:hi], percent, side)
-                left.append(node[lo + x])
-                right.append(node[lo + y])
-        a = np.concatenate(left) if left else np.zeros(0, np.int64)
-        b = np.concatenate(right) if right else np.zeros(0, np.int64)
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        cuts = np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in at], axis=0)))
+        pairs = [solve(t.slice(lo, hi - lo)) for lo, hi in zip(cuts, np.append(cuts[1:], t.num_rows), strict=True) if hi - lo > 1]
+        a, b = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, np.int64) for i in (0, 1))
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -325,20 +320,120 @@ def _blocks(percent: int):
             if not b.num_rows:
                 continue
             at = [b.column(c).to_numpy() for c in keys]
-            last = np.all([k == k[-1] for k in at], axis=0)
-            cut = int(np.argmax(last))
+            cut = int(np.argmax(np.all([k == k[-1] for k in at], axis=0)))
             if cut == 0 and held and all(held[-1].column(c)[0].as_py() == k[0] for c, k in zip(keys, at, strict=True)):
                 held.append(b)
                 continue
             if held or cut:
-                yield solve(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                yield solved(pa.Table.from_batches([*held, b.slice(0, cut)]))
             held = [b.slice(cut)]
         if held:
-            yield solve(pa.Table.from_batches(held))
+            yield solved(pa.Table.from_batches(held))
 
     return run
 
 
+def _blocks(percent: int):
+    """Pairs over the bound of a small block: linear in its rows, as a block has few."""
+
+    def solve(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        node, n, comp = (t.column(c).to_numpy() for c in ("node", "n", "comp"))
+        x, y = tree_join(n, _vectors(t.column("vec").combine_chunks()), comp, percent)
+        return node[x], node[y]
+
+    return _jobs(("token",), solve)
+
+
+def _fine(sets: list[np.ndarray]) -> np.ndarray:
+    out = np.empty((len(sets), FINE), np.uint16)
+    for i, s in enumerate(sets):
+        cell = (mix64(s) >> np.uint64(20)).astype(np.int64) % FINE
+        out[i] = np.minimum(np.bincount(cell, minlength=FINE), (1 << 16) - 1)
+    return out
+
+
+def joining_links(
+    n: np.ndarray, vec: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent: int, side: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Verified pairs that join components of a job: one fewer than its rows at most.
+
+    Pairs that the tree leaves are taken by falling bound. Those whose rows are in one component by
+    then need no more; the others are bounded by the sets' counts in ``FINE`` groups, and verified.
+    """
+    x, y = tree_join(n, vec, comp, percent, side)
+    _, label = np.unique(comp, return_inverse=True)
+    share = np.concatenate(
+        [np.zeros(0)]
+        + [
+            _overlap(vec[x[i : i + 8192]], vec[y[i : i + 8192]]) / (n[x[i : i + 8192]] + n[y[i : i + 8192]])
+            for i in range(0, len(x), 8192)
+        ]
+    )
+    order = np.argsort(-share, kind="stable")
+    x, y = x[order], y[order]
+    fine = _fine(sets) if len(x) else None
+    left, right = [], []
+    for i in range(0, len(x), 512):
+        p, q = x[i : i + 512], y[i : i + 512]
+        apart = label[p] != label[q]
+        p, q = p[apart], q[apart]
+        if not len(p):
+            continue
+        most = np.minimum(fine[p], fine[q]).sum(axis=1, dtype=np.int64)
+        ok = _reach(most, n[p] + n[q], percent)
+        for a, b in zip(p[ok].tolist(), q[ok].tolist(), strict=True):
+            if label[a] != label[b] and _similar(sets[a], sets[b], percent):
+                label[label == label[b]] = label[a]
+                left.append(a)
+                right.append(b)
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
+def _verified_jobs(percent: int):
+    """Links of jobs whose rows carry their sets."""
+
+    def solve(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        node, n, comp, tile = (t.column(c).to_numpy() for c in ("node", "n", "comp", "tile"))
+        first, second = t.column("x")[0].as_py(), t.column("y")[0].as_py()
+        side = None if first == second else (tile != first).astype(np.int64)
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("tokens").combine_chunks()]
+        vec = _vectors(t.column("vec").combine_chunks())
+        a, b = joining_links(n, vec, comp, sets, percent, side)
+        return node[a], node[b]
+
+    return _jobs(("token", "x", "y"), solve)
+
+
+def _token_sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in slices(b.column(1)):
+                d, h = _sets(s, k)
+                ends = np.searchsorted(d, np.arange(s.hi - s.lo + 1))
+                raw = [h[lo:hi].tobytes() for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(s.lo, s.hi - s.lo), pa.array(raw, pa.binary())], names=["node", "tokens"]
+                )
+
+    return run
+
+
+def _block_links(texts: DataFrame, members: DataFrame, of_class: DataFrame, k: int, percent: int, block: int) -> DataFrame:
+    """Links of large blocks (token, f1, n, comp), verified in the task that has both sets; a job
+    gives fewer links than it has rows."""
+    jobs = stage(block_jobs(members, percent, block), "block-jobs")
+    nodes = stage(jobs.select("f1").distinct().join(of_class.select("f1", "node"), "f1").select(F.col("node").alias("key")), "large-nodes")
+    sets = stage(picked(texts, nodes, "key", "inner").select("key", "text").mapInArrow(_token_sets(k), "node long, tokens binary"), "large-sets")
+    rows = jobs.join(of_class, "f1").join(sets, "node")
+    return (
+        rows.repartition("token", "x", "y")
+        .sortWithinPartitions("token", "x", "y")
+        .select("token", "x", "y", "tile", "node", "n", "comp", "vec", "tokens")
+        .mapInArrow(_verified_jobs(percent), "a long, b long")
+        .select(F.col("a").alias("u"), F.col("b").alias("v"))
+    )
+
+
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= percent * (len(x) + len(y) - both)
@@ -460,8 +555,10 @@ def similar_documents(
        block. Each class is verified with the partner of its highest bound first, which is enough
        for most groups of near copies; then the pairs still between components are.
     4. Blocks that are then still in different components go through the tree, which pairs points
-       of different components only; what is over the bound is verified too. A block of more than
-       ``block`` classes is cut into tiles first and goes by pairs of tiles (see ``block_jobs``).
+       of different components only; tokens with the same classes are one block. In a block of at
+       most ``SMALL`` classes, pairs over the bound are named and verified by tiles of texts. A
+       larger one carries its sets, cut into tiles of ``block`` rows that go by pairs (see
+       ``block_jobs``), and gives only the links that join two of its components.
     """
     small_batches(docs.sparkSession)
     ids, renamed = keyed(docs, id_col, text_col)
@@ -533,17 +630,24 @@ def similar_documents(
         .where("x <> y AND c > 2")
         .select("token", "c")
     )
-    placed = placed.join(stage(mixed, "mixed-tokens"), "token").join(of_class.select("f1", "n", "comp"), "f1")
-    jobs = stage(block_jobs(stage(placed, "mixed-members"), percent, block), "block-jobs")
+    placed = stage(placed.join(mixed, "token").drop("c"), "mixed-places")
+    # tokens that the same classes have are one block
+    place = [F.bit_xor(F.xxhash64(F.lit(seed), "f1")).alias(f"s{seed}") for seed in (1, 2)]
+    blocks = placed.groupBy("token").agg(F.count("*").alias("c"), *place)
+    blocks = blocks.groupBy("c", "s1", "s2").agg(F.min("token").alias("token")).select("token", "c")
+    placed = placed.join(stage(blocks, "mixed-blocks"), "token").join(of_class.select("f1", "n", "comp"), "f1")
+    placed = stage(placed, "mixed-members")
     rest = (
-        jobs.join(of_class, "f1")
-        .repartition("token", "x", "y")
-        .sortWithinPartitions("token", "x", "y")
-        .select("token", "x", "y", "tile", "node", "n", "comp", "vec")
+        placed.where(F.col("c") <= SMALL).select("token", "f1").join(of_class, "f1")
+        .repartition("token")
+        .sortWithinPartitions("token")
+        .select("token", "node", "n", "comp", "vec")
         .mapInArrow(_blocks(percent), "a long, b long")
         .distinct()
-    )
+    )
     more = _links(texts, stage(rest, "tree-pairs"), shingle, percent)
+    large = placed.where(F.col("c") > SMALL).drop("c")
+    more = more.union(stage(_block_links(texts, large, of_class, shingle, percent, block), "block-links"))
     links = known.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)
     final = stage(components(links), "components")
     named = classes.select("n", "f1", "f2", "node").join(final, "node", "left").select(

@@ -26,6 +26,8 @@ from fraudspark.llm.common import Words, keyed, runs, signed, slices, small_batc
 from fraudspark.sources.staging import stage
 
 WINDOW, GRAM, GROUP = 20, 6, 500
+#: Windows of one anchor have a bit each in a long; longer windows get longer anchors.
+MARKS = 62
 
 
 def _anchors(w: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -224,8 +226,9 @@ def repeated_passages(
     """Words of each document that no window of ``window`` words covers whose word sequence also
     starts earlier (in a smaller id, or earlier in the same text), judged on the input.
 
-    Words are runs of other than blanks; null has none. Windows are equal when their anchors and
-    whole windows agree in two 64-bit hashes. Rows that repeat an id, or have none, are documents
+    Words are runs of other than blanks; null has none. Windows are equal when the 64-bit hashes of
+    the whole windows and of their anchors (``gram`` words, more for windows over ``MARKS``) agree.
+    Rows that repeat an id, or have none, are documents
     of their own, in order of their texts (null first). No rows give no rows; other columns are
     not read.
 
@@ -236,6 +239,7 @@ def repeated_passages(
     """
     spark = docs.sparkSession
     small_batches(spark)
+    gram = max(gram, window - MARKS)
     ids, renamed = keyed(docs, id_col, text_col)
     texts = ids.select("key", "text")
     counts = (

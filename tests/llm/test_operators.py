@@ -427,3 +427,66 @@ def test_pipeline_stages_on_odd_rows(spark, odd, sf_dir):
 def test_names():
     assert {int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES if k.startswith("op")} == set(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
+
+
+def thue_morse(n):
+    """The two words of ``n`` letters whose sums of powers agree modulo 2^64, whatever the base."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_powers_confuse(spark):
+    x, y = thue_morse(1024)
+    rest = " ".join(f"w{i}" for i in range(25))
+    df = spark.createDataFrame([(1, f"{x} {rest}"), (2, f"{y} {rest[3:]} z"), (3, x), (4, y)], "doc_id long, text string")
+    sets = by_id(jaccard.similar_documents(df.where("doc_id > 2"), 4, 85))
+    assert {i: r.component_id for i, r in sets.items()} == {3: 3, 4: 4}
+    long_x, long_y = thue_morse(2048)
+    run = [f"v{i}" for i in range(25)]
+    df = spark.createDataFrame(
+        [(1, " ".join([long_x if i % 5 == 0 else w for i, w in enumerate(run)])),
+         (2, " ".join([long_y if i % 5 == 0 else w for i, w in enumerate(run)]))], "doc_id long, text string"
+    )
+    assert by_id(repeats.repeated_passages(df))[2].n_removed == 0
+
+
+def test_windows_longer_than_the_marks(spark):
+    words_ = [f"w{i}" for i in range(300)]
+    df = spark.createDataFrame([(1, " ".join(words_)), (2, " ".join(["x", *words_, "y"]))], "doc_id long, text string")
+    got = by_id(repeats.repeated_passages(df, window=100))
+    assert (got[1].n_removed, got[2].n_removed) == (0, 300)
+
+
+@pytest.mark.parametrize("small,block", [(48, 1024), (2, 1024), (2, 5), (2, 1)])
+def test_families_under_and_over_the_threshold(spark, monkeypatch, small, block):
+    """Copies with every tenth or so word changed: many pairs lie just under 0.85, some over."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    r = random.Random(11)
+    texts = []
+    for _ in range(3):
+        base = [f"w{r.randrange(900)}" for _ in range(160)]
+        for _ in range(30):
+            copy = list(base)
+            for i in r.sample(range(160), r.choice([1, 1, 2, 3])):
+                copy[i] = f"n{r.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in map(str.split, texts)]
+    comp = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= 85 * len(a | b) and comp[i] != comp[j]:
+                old, new = max(comp[i], comp[j]), min(comp[i], comp[j])
+                comp = [new if c == old else c for c in comp]
+    assert 10 < len(set(comp)) < 85
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = by_id(jaccard.similar_documents(df, 4, 85, block=block))
+    assert [got[i].component_id for i in range(len(texts))] == comp
+
+
+def test_licences_of_rows_that_share_an_id(spark):
+    mit, apache = "Licensed under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    rows = [(1, mit), (1, apache), (None, "a plain text"), (None, mit)]
+    got = licenses.license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    of_one = {r.families for r in got if r.doc_id == 1}
+    of_none = {r.families for r in got if r.doc_id is None}
+    assert len(of_one) == 2 and len(of_none) == 2 and "" in of_none and (of_one & of_none) - {""}

@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fraudspark import schemas as S
-from fraudspark.plans.catalog import SOME, Ctx, query
+from fraudspark.plans.catalog import SOME, Ctx, payloads, query
 from fraudspark.plans.investigation import window_of
 from fraudspark.plans.models import CHALLENGER, CHAMPION
 from fraudspark.sources.staging import new_path
 from fraudspark.streaming import jobs as J
 from fraudspark.streaming import state as ST
+from fraudspark.streaming.admission import Admission
 
 c = F.col
+ADMITTED = 25_000
+XYZ = ["amount", "lat", "lon"]
 ALL_SQL = "SELECT txn_id, ts_ms, user_id, " + ", ".join(S.FEATURES) + " FROM feats"
 MODELS = {m.version: m for m in (CHAMPION, CHALLENGER)}
 
@@ -28,6 +31,32 @@ def stream_features(x: Ctx, good_only: bool = False) -> DataFrame:
     return J.stateful_features(events, x.t.users, x.t.merchants)
 
 
+@query(
+    "stream_source",
+    f"SELECT {', '.join(S.WIRE_COLUMNS)} FROM txn WHERE amount > 0",
+    XYZ,
+)
+def _(x: Ctx):
+    """Raw payload files, admitted in chunks, decoded and checked on the stream."""
+    raw = new_path(x.spark, "payloads")
+    payloads(x.txns).write.text(raw)
+    admission = Admission(x.spark, new_path(x.spark, "admission"), ADMITTED)
+    admission.take_in(raw)
+    out = new_path(x.spark, "admitted")
+
+    def start(stream: DataFrame):
+        good = J.good_rows(J.checked_stream(stream))
+        return (
+            good.writeStream.format("parquet")
+            .option("path", f"{out}/data")
+            .option("checkpointLocation", f"{out}/checkpoint")
+            .start()
+        )
+
+    admission.feed(start)
+    return x.spark.read.schema(S.WIRE).parquet(f"{out}/data")
+
+
 @query("stream_user_state", ALL_SQL, S.FEATURES)
 def _(x: Ctx):
     out = J.run_to_table(stream_features(x), "stream-features")

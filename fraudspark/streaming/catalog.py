@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fraudspark import schemas as S
+from fraudspark.operators.scoring import batch_score, flagged_queue
 from fraudspark.plans.catalog import SOME, Ctx, payloads, query
 from fraudspark.plans.investigation import window_of
 from fraudspark.plans.models import CHALLENGER, CHAMPION
 from fraudspark.sources.staging import new_path
 from fraudspark.streaming import jobs as J
+from fraudspark.streaming import queue as Q
 from fraudspark.streaming import state as ST
 from fraudspark.streaming.admission import Admission
 
@@ -172,16 +174,23 @@ def _(x: Ctx):
     )
 
 
-@query("stream_dedupe", "SELECT txn_id, user_id, ts_ms FROM txn WHERE is_fraud")
+@query(
+    "stream_dedupe",
+    f"""SELECT txn_id, user_id, ts_ms, score, '{CHAMPION.version}' AS model_version,
+       row_number() OVER (PARTITION BY user_id ORDER BY ts_ms, txn_id) AS place
+       FROM scored WHERE score >= {CHAMPION.threshold}""",
+    ["score"],
+)
 def _(x: Ctx):
-    # Every message is sent twice.
-    events = J.event_stream(x.spark, x.sf_dir)
-    truth = x.txns.where("is_fraud").select("txn_id")
-    doubled = events.join(truth, "txn_id", "left_semi").withColumn(
-        "copy", F.explode(F.array(F.lit(1), F.lit(2)))
-    )
-    out = J.run_to_table(J.dedupe(doubled.drop("copy")), "deduped")
-    return out.select("txn_id", "user_id", "ts_ms")
+    """Flagged events come twice and out of order; the queue has each once, in order."""
+    decisions = batch_score(x.features(), CHAMPION, explain=False)
+    sent = flagged_queue(decisions).select(*Q.MESSAGE)
+    messages, root = new_path(x.spark, "messages"), new_path(x.spark, "queue")
+    twice = sent.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    twice.write.parquet(messages)
+    stream = x.spark.readStream.schema(Q.MESSAGE_SCHEMA).parquet(messages)
+    Q.run_queue(Q.in_order(stream), root, x.spark.read.parquet(messages).count())
+    return Q.read_sink(x.spark, root, Q.QUEUED).select(*Q.MESSAGE, "place")
 
 
 @query(

@@ -27,8 +27,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 URL = re.compile(r"%[0-9A-Fa-f]{2}")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#(\d{1,7});|&#x([0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+(?=={0,2}[ \t]*(?:\r?\n|\Z)))+")
-LINE_END = re.compile(r"[ \t]*\r?\n[ \t]*")
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+#: An escaped escape sign, escaped again and again: one layer takes the whole chain.
+URL_CHAIN = re.compile(r"%25(?:25)+")
+ESCAPE_CHAIN = re.compile(r"\\u005[cC](?:u005[cC])+|\\x5[cC](?:x5[cC])+|&#38;(?:#38;)+")
+#: Compressed bodies are read by pieces, with so much of the piece before.
+PIECE, BEFORE = 1 << 20, 1 << 12
 MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
 KEYWORDS = ("passw", "secret", "token", "api")
 
@@ -58,28 +62,44 @@ def _lenient(raw: bytes) -> str:
     return raw.decode("utf-8", "surrogateescape")
 
 
-def _inflated(raw: bytes) -> Iterator[tuple[int, bytes]]:
+def _pieces(raw: bytes, magic: bytes) -> Iterator[bytes]:
+    """A compressed body, a bounded piece at a time, each with the end of the one before."""
+    zipped = magic[:1] not in (b"B", b"\xfd")
+    if zipped:
+        opener = zlib.decompressobj(31 if magic[:1] == b"\x1f" else 15)
+    else:
+        opener = bz2.BZ2Decompressor() if magic[:1] == b"B" else lzma.LZMADecompressor()
+    last, more = b"", raw
+    try:
+        while not opener.eof:
+            piece = opener.decompress(more, PIECE)
+            if not piece:
+                return
+            yield last + piece
+            last = piece[-BEFORE:]
+            more = opener.unconsumed_tail if zipped else b""
+    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
+        return
+
+
+def _inflated(raw: bytes, first: int | None = None, seen: set | None = None) -> Iterator[tuple[int, bytes]]:
     """What the gzip, zlib, bzip2 or xz bodies in some bytes hold, bodies in these included, and
-    where the outermost body starts."""
-    work, seen = [(None, raw)], set()
-    while work:
-        first, outer = work.pop()
-        for m in MAGIC.finditer(outer):
-            if m[0][:1] == b"B":
-                opener = bz2.BZ2Decompressor()
-            elif m[0][:1] == b"\xfd":
-                opener = lzma.LZMADecompressor()
-            else:
-                opener = zlib.decompressobj(31 if m[0][:1] == b"\x1f" else 15)
-            try:
-                inner = opener.decompress(outer[m.start() :])
-            except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
+    where the outermost body starts. No more than a piece of each is held."""
+    seen = set() if seen is None else seen
+    for m in MAGIC.finditer(raw):
+        start = m.start() if first is None else first
+        for inner in _pieces(memoryview(raw)[m.start() :], m[0]):
+            one = start, _digest(inner)
+            if one in seen:
                 continue
-            one = m.start() if first is None else first, inner
-            if inner and one not in seen:
-                seen.add(one)
-                work.append(one)
-                yield one
+            seen.add(one)
+            yield start, inner
+            yield from _inflated(inner, start, seen)
+
+
+def _digest(x: bytes | str) -> bytes:
+    raw = x if isinstance(x, bytes) else x.encode("utf-8", "surrogatepass")
+    return hashlib.blake2b(raw, digest_size=16).digest()
 
 
 def _mapped(pieces: list[tuple[str, int, int]]) -> tuple[str, ToParent]:
@@ -108,7 +128,11 @@ def _url_layer(text: str) -> tuple[str, ToParent] | None:
     if "%" not in text:
         return None
     pieces, last = [], 0
-    for m in re.finditer(r"(?:%[0-9A-Fa-f]{2})+", text):
+    for m in re.finditer(r"%25(?:25)+|(?:%[0-9A-Fa-f]{2})+", text):
+        if URL_CHAIN.fullmatch(m[0]):
+            pieces += [(text[last : m.start()], last, m.start()), ("%", *m.span())]
+            last = m.end()
+            continue
         raw = bytes.fromhex(m[0].replace("%", ""))
         pieces.append((text[last : m.start()], last, m.start()))
         at = m.start()
@@ -127,7 +151,11 @@ def _escape_layer(text: str) -> tuple[str, ToParent] | None:
     if "\\" not in text and "&#" not in text:
         return None
     pieces, last = [], 0
-    for m in ESCAPE.finditer(text):
+    for m in re.finditer(f"{ESCAPE_CHAIN.pattern}|{ESCAPE.pattern}", text):
+        if ESCAPE_CHAIN.fullmatch(m[0]):
+            pieces += [(text[last : m.start()], last, m.start()), ("&" if m[0][0] == "&" else "\\", *m.span())]
+            last = m.end()
+            continue
         braced, four, eight, two, dec, hexa = m.groups()
         code = int(dec) if dec else int(braced or four or eight or two or hexa, 16)
         if code > 0x10FFFF or 0xD800 <= code < 0xE000:
@@ -145,13 +173,42 @@ def _runs(text: str) -> Iterator[tuple[np.ndarray, int]]:
     where the run ends with its padding."""
     for m in BASE64.finditer(text):
         yield np.arange(m.start(), m.start() + len(m[0].rstrip("="))), m.end()
-    if "\n" in text:
-        for m in WRAPPED.finditer(text):
-            keep = np.ones(len(m[0]), bool)
-            for end in LINE_END.finditer(m[0]):
-                keep[end.start() : end.end()] = False
-            pad = re.compile("={0,2}").match(text, m.end())
-            yield m.start() + np.flatnonzero(keep), pad.end()
+    yield from _wrapped(text)
+
+
+def _wrapped(text: str) -> Iterator[tuple[np.ndarray, int]]:
+    """Runs that go on over line ends: 16 characters or more at the end of a line, then lines of
+    nothing else, the last one with padding at most. Each line is looked at once."""
+    if "\n" not in text:
+        return
+    places: list[np.ndarray] = []
+    at = end = 0
+    while at <= len(text):
+        stop = text.find("\n", at)
+        line = text[at : stop if stop >= 0 else len(text)]
+        content = (line[:-1] if stop >= 0 and line.endswith("\r") else line).rstrip(" \t")
+        core = content.rstrip("=")
+        run = len(core) - len(core.rstrip(LETTERS))
+        lead = len(content) - len(content.lstrip(" \t"))
+        padding = len(content) - len(core)
+        if places and run and run == len(core) - lead and padding <= 2:
+            places.append(np.arange(at + lead, at + len(core)))
+            end = at + len(content)
+            goes_on = not padding
+        else:
+            if len(places) > 1:
+                yield np.concatenate(places), end
+            places = []
+            goes_on = run >= 16 and not padding
+            if goes_on:
+                places = [np.arange(at + len(core) - run, at + len(core))]
+        if not goes_on or stop < 0:
+            if len(places) > 1:
+                yield np.concatenate(places), end
+            places = []
+        if stop < 0:
+            return
+        at = stop + 1
 
 
 def _may_hold(text: str) -> bool:
@@ -185,43 +242,46 @@ def _base64_layers(text: str) -> Iterator[tuple[str, ToParent, bool]]:
                 yield _lenient(inner), lambda s, e, a=int(at[first * 4 // 3]), b=end: (a, b), True
 
 
-def _layers(text: str) -> list[tuple[str, ToParent, bool]]:
-    inner = [(*x, True) for x in (_url_layer(text), _escape_layer(text)) if x]
-    return [x for x in [*inner, *_base64_layers(text)] if x[0] and x[0] != text]
+def _layers(text: str) -> Iterator[tuple[str, ToParent, bool]]:
+    inner = ((*x, True) for x in (f(text) for f in (_url_layer, _escape_layer)) if x)
+    return (x for x in chain(inner, _base64_layers(text)) if x[0] and x[0] != text)
 
 
 def layered_spans(text: str) -> tuple[list[Span], list[Span], int]:
     """Base spans, all spans, and how many different layers were opened: whole readable texts, those
     under URL or Unicode escapes or a compression, and any other that holds a secret.
 
-    Each layer is scanned, and so is what its URL, Unicode, base64 and compressed parts decode to.
-    The spans of a layer are kept by its text, and every place where that text is decoded again gets
+    Each layer is scanned, and so is what its URL, Unicode, base64 and compressed parts decode to;
+    a chain of escaped escape signs is one layer. The spans of a layer are kept by the digest of its
+    text, so that only the layers being opened are held, and every place where that text is decoded again gets
     them; only a layer inside itself is not opened.
     """
     base = base_spans(text)
-    done: dict[str, set[Span]] = {}
-    counted: set[str] = set()
-    path = {text}
-    work = [(text, iter(_layers(text)), set(base))]
+    done: dict[bytes, set[Span]] = {}
+    counted: set[bytes] = set()
+    top = _digest(text)
+    path = {top}
+    work = [(top, _layers(text), set(base))]
     while work:
         layer, rest, found = work[-1]
         for decoded, to_layer, counts in rest:
+            name = _digest(decoded)
             if counts:
-                counted.add(decoded)
-            if decoded in done:
-                found.update((k, *to_layer(s, e)) for k, s, e in done[decoded])
-            elif decoded not in path:
-                path.add(decoded)
+                counted.add(name)
+            if name in done:
+                found.update((k, *to_layer(s, e)) for k, s, e in done[name])
+            elif name not in path:
+                path.add(name)
                 work[-1] = (layer, chain([(decoded, to_layer, counts)], rest), found)
-                work.append((decoded, iter(_layers(decoded)), set(base_spans(decoded))))
+                work.append((name, _layers(decoded), set(base_spans(decoded))))
                 break
         else:
             work.pop()
             path.discard(layer)
             done[layer] = found
-    every = done.pop(text)
+    every = done.pop(top)
     counted.update(x for x, spans in done.items() if spans)
-    return base, list(every), len(counted - {text})
+    return base, list(every), len(counted - {top})
 
 
 def joined(spans: list[Span]) -> str:

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from urllib.parse import quote
@@ -490,3 +491,31 @@ def test_licences_of_rows_that_share_an_id(spark):
     of_one = {r.families for r in got if r.doc_id == 1}
     of_none = {r.families for r in got if r.doc_id is None}
     assert len(of_one) == 2 and len(of_none) == 2 and "" in of_none and (of_one & of_none) - {""}
+
+
+def test_secret_scan_is_linear_in_odd_texts():
+    """A long run with a line end, chains of escapes and a bomb: each in seconds."""
+    r = random.Random(3)
+    letters = "ABCDEFabcdef0123456789xyzXYZ+/"
+    begun = time.monotonic()
+    assert secrets.layered_spans("x\n" + "".join(r.choice(letters) for _ in range(10**6)) + "!\n")[0] is not None
+    for chain in ("%" + "25" * 300_000 + "70assword=hunter2secret", "\\" + "u005c" * 100_000 + "u0070assword=hunter2secret"):
+        kinds = {k for k, _, _ in secrets.layered_spans(chain)[1]}
+        assert "assign" in kinds
+    bomb = base64.b64encode(zlib.compress(b"\0" * 100_000_000 + b"password=hunter22", 9)).decode()
+    ((kind, start, end),) = secrets.layered_spans(f"q {bomb} q")[1]
+    assert (kind, start, end) == ("assign", 2, 2 + len(bomb))
+    assert time.monotonic() - begun < 60
+
+
+def test_runs_over_line_ends():
+    """Found by a look at each line, as by a pattern that tries every place."""
+    wrapped = re.compile(
+        r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+(?=={0,2}[ \t]*(?:\r?\n|\Z)))+"
+    )
+    r = random.Random(5)
+    parts = ["A" * 16, "A", "b", "=", "\n", "\r\n", " ", "\t", "\r", "!", "Q" * 5]
+    for _ in range(4000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
+        found = [(int(p[0]), int(p[-1]) + 1) for p, _ in secrets._wrapped(text)]
+        assert found == [m.span() for m in wrapped.finditer(text)]

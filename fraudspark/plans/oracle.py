@@ -582,6 +582,14 @@ CTES["psi"] = """SELECT r.feature, sum((greatest(live, 1e-4) - greatest(prob, 1e
    FROM ref r JOIN livebins l ON l.feature = r.feature AND l.bin = r.bin GROUP BY r.feature"""
 CTES["psic"] = """SELECT *, CASE WHEN psi < 0.1 THEN 'stable' WHEN psi < 0.2 THEN 'watch'
    ELSE 'shifted' END AS status FROM psi"""
+# The same for the last 24 hours, by whole hours.
+CTES["last_day"] = f"""SELECT d.* FROM decisions d, bounds
+   WHERE d.ts_ms // 3600000 >= (last_ms - {DAY}) // 3600000"""
+CTES["long_day"] = (
+    feature_long("last_day") + " UNION ALL SELECT '__score__', score FROM last_day"
+)
+CTES["daybins"] = CTES["livebins"].replace("long_test", "long_day")
+CTES["day_psi"] = CTES["psi"].replace("livebins", "daybins")
 CTES["promos"] = f"""SELECT concat('v', lpad(day::varchar, 6, '0')) AS version,
    day * {DAY} + 21600000 AS promoted_ms
    FROM (SELECT DISTINCT ts_ms // {DAY} AS day FROM txn) WHERE day % 3 = 0"""

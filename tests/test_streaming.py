@@ -214,7 +214,10 @@ def test_feature_log_and_drift_job(spark, work, tmp_path):
     report, psi = drift_job.run(spark, path, ref, end, lookback_hours=24 * 7)
     r = report.first()
     assert r.drift_detected and P.SCORE in r.shifted_features and psi.count() == 46
-    assert drift_job.append_event(report, str(tmp_path / "events"), end) == 1
+    events = str(tmp_path / "events")
+    assert drift_job.append_event(report, events) == 1
+    assert drift_job.append_event(report, events) == 0
+    assert [e.max_feature for e in drift_job.events(spark, events).collect()] == [r.max_feature]
     short, _ = drift_job.run(spark, path, ref, end, lookback_hours=1)
     assert short.first().status == "insufficient_data"
 

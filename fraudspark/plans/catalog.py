@@ -26,6 +26,7 @@ from fraudspark.plans import investigation as I
 from fraudspark.plans import oracle as O
 from fraudspark.plans.models import CHALLENGER, CHAMPION
 from fraudspark.sources import adapter, tables as TB
+from fraudspark.sources.cache import DerivedTables
 from fraudspark.sources.staging import new_path, stage
 
 c = F.col
@@ -176,7 +177,13 @@ SOME = ["amount_z", "txn_count_1h", "device_user_count", "speed_kmh", "account_a
 
 @query("feature_cache", f"SELECT txn_id, {', '.join(SOME)} FROM feats", SOME)
 def _(x: Ctx):
-    return x.work().rows.select("txn_id", *SOME)
+    """Kept features: made once per state of the input files, and reused by every later call in
+    any session that shares the folder."""
+    kept = DerivedTables(x.spark, "features")
+    sources = adapter.source_paths(x.sf_dir)
+    work = I.prepare(x.t, CHAMPION, kept=kept, sources=sources)
+    kept.sweep()
+    return work.rows.select("txn_id", *SOME)
 
 
 @query(

@@ -19,6 +19,7 @@ from fraudspark.operators.scoring import LinearModel, batch_score
 from fraudspark.operators.skew import DEFAULT, SkewPolicy
 from fraudspark.schemas import FEATURES, HOUR_MS, PUBLIC_FIELDS
 from fraudspark.sources.adapter import Tables
+from fraudspark.sources.cache import DerivedTables
 from fraudspark.sources.staging import stage
 
 CASE_STATE = [
@@ -28,6 +29,8 @@ CASE_STATE = [
     "device_users_before",
     "device_first_before_ms",
 ]
+# Part of the name of kept feature tables: raise it with every change of a feature.
+FEATURE_VERSION = 1
 # Event columns that a feature of the same name would shadow.
 SHADOWED = {"is_online": "online"}
 
@@ -120,14 +123,21 @@ def prepare(
     val: float = 7,
     test: float = 7,
     policy: SkewPolicy = DEFAULT,
+    kept: DerivedTables | None = None,
+    sources: list[str] = (),
 ) -> CaseWork:
-    """Features are computed once and staged, as every look-up reads them."""
-    txns = tables.transactions.withColumn(
-        "online", F.col("is_online")
-    )
+    """Features are computed once and staged, as every look-up reads them. With ``kept`` they
+    are taken from there while the files under ``sources`` are the same."""
     keep = [*PUBLIC_FIELDS, "online", "context", *CASE_STATE]
-    rows = feature_frame(txns, tables.users, tables.merchants, policy, keep=keep)
-    rows = stage(rows, "features")
+
+    def features() -> DataFrame:
+        txns = tables.transactions.withColumn("online", F.col("is_online"))
+        return feature_frame(txns, tables.users, tables.merchants, policy, keep=keep)
+
+    if kept is None:
+        rows = stage(features(), "features")
+    else:
+        rows = kept.get(list(sources), f"{FEATURE_VERSION} {keep} {policy}", features)
     return CaseWork(rows, tables, window_of(rows, burn_in, val, test), model)
 
 

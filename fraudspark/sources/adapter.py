@@ -138,6 +138,11 @@ def read(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def source_paths(sf_dir: str) -> list[str]:
+    """All that ``load`` reads."""
+    return [f"{sf_dir}/{name}.parquet" for name in ("customer", "events", "supplier")]
+
+
 def load(spark: SparkSession, sf_dir: str) -> Tables:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     customer = read(spark, sf_dir, "customer", CUSTOMER_SCHEMA)

@@ -11,6 +11,7 @@ from fraudspark.schemas import BLOCK_CONFIDENCE
 # Alerts per month used for the cost projection.
 MONTHLY_ALERTS = 100 * 30
 
+# The metrics of a comparison, in its order.
 COMPARE_METRICS = [
     "coverage",
     "decided_accuracy",

@@ -1,8 +1,8 @@
 """Exact ranks, running sums and quantiles over a whole table without one big sort task.
 
-Values are counted first, then put into buckets of equal width between the exact minimum and
-maximum (a monotone map, so bucket order is value order). Totals of whole buckets are summed
-up over at most ``BUCKETS`` rows per group; values are only sorted inside their bucket.
+Values are counted first; the counted values are dealt into ranges of about equal number, by
+splitters that Spark samples from them, so one far value or a dense spot does not fill a range.
+Totals of whole ranges are summed up, and values are only sorted inside their range.
 """
 
 from __future__ import annotations
@@ -10,12 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 16_384
+from fraudspark.sources.staging import stage
 
+RANGE = "_range"
 
-def _bucket(value: Column, lo: Column, hi: Column) -> Column:
-    place = (value - lo) / F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
-    return F.least(F.floor(place * BUCKETS), F.lit(BUCKETS - 1))
+
+def ranged(counted: DataFrame, order: list[str]) -> DataFrame:
+    """``counted`` with the number of its range. Every range of ``order`` lies in one partition
+    of a sampled range shuffle; the numbers are written, so that all readers see the same ones."""
+    dealt = counted.repartitionByRange(*order)
+    return stage(dealt.withColumn(RANGE, F.spark_partition_id()), "value-ranges")
 
 
 def running_sums(
@@ -26,50 +30,44 @@ def running_sums(
     few_groups: bool = False,
 ) -> DataFrame:
     """One row per (by, value) with the sum of each weight, its sum over strictly smaller
-    values as ``<name>_below`` and over the group as ``<name>_total``.
+    values as ``<name>_below`` and over the group as ``<name>_total``. Null values are left out.
 
     ``few_groups`` states that there are at most some dozens of groups (features, models); a
-    missing ``by`` is one group. The helper tables then have at most BUCKETS rows per group and
-    are broadcast, so that counted values are not shuffled by a handful of keys.
+    missing ``by`` is one group. The totals of ranges then have at most a row per group and one
+    per partition, and are broadcast, so that counted values are not shuffled by a handful of
+    keys.
     """
     keys = by or ["_all"]
     small = F.broadcast if few_groups or not by else (lambda table: table)
     src = df if by else df.withColumn("_all", F.lit(0))
     names = list(weights)
-    counted = src.groupBy(*keys, value).agg(
-        *[F.sum(w).alias(n) for n, w in weights.items()]
-    )
-    span = counted.groupBy(*keys).agg(
-        F.min(value).alias("_lo"),
-        F.max(value).alias("_hi"),
-        *[F.sum(n).alias(f"{n}_total") for n in names],
-    )
-    placed = counted.join(small(span), keys).withColumn(
-        "_b", _bucket(F.col(value).cast("double"), F.col("_lo"), F.col("_hi"))
-    )
-    earlier = (
-        Window.partitionBy(*keys)
-        .orderBy("_b")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    counted = (
+        src.where(F.col(value).isNotNull())
+        .groupBy(*keys, value)
+        .agg(*[F.sum(w).alias(n) for n, w in weights.items()])
     )
+    placed = ranged(counted, [*keys, value])
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     base = (
-        placed.groupBy(*keys, "_b")
+        placed.groupBy(*keys, RANGE)
         .agg(*[F.sum(n).alias(f"_s_{n}") for n in names])
         .select(
             *keys,
-            "_b",
+            RANGE,
             *[
                 F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_base_{n}")
                 for n in names
             ],
+            *[F.sum(f"_s_{n}").over(group).alias(f"{n}_total") for n in names],
         )
     )
     inside = (
-        Window.partitionBy(*keys, "_b")
+        Window.partitionBy(*keys, RANGE)
         .orderBy(value)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    out = placed.join(small(base), [*keys, "_b"]).withColumns(
+    out = placed.join(small(base), [*keys, RANGE]).withColumns(
         {
             f"{n}_below": F.col(f"_base_{n}")
             + F.coalesce(F.sum(n).over(inside), F.lit(0))

@@ -8,6 +8,7 @@ the rounding boundary.
 from __future__ import annotations
 
 import re
+from string import Formatter
 
 from fraudspark.operators import decide as D
 from fraudspark.operators.scoring import LinearModel
@@ -168,26 +169,60 @@ ZS = ", ".join(
 )
 XS = ", ".join(f"z{i} / ({NORM}) AS x{i}" for i in range(len(FEATURES)))
 
+def filled(template: str, **parts: str) -> str:
+    """SQL for a template whose fields are SQL expressions."""
+    out = []
+    for text, field, _, _ in Formatter().parse(template):
+        if text:
+            out.append("'" + text.replace("'", "''") + "'")
+        if field:
+            out.append(parts[field])
+    return " || ".join(out)
+
+
+def evidence(name: str, where: str, **parts: str) -> tuple[str, float, str]:
+    points, template = D.EVIDENCE[name]
+    return where, points, filled(template, **parts)
+
+
+SCORES = {"score": fx("score", 2), "threshold": fx("threshold", 2)}
 EVIDENCE = [
-    ("score >= 0.6", 2, f"'model score ' || {fx('score', 2)} || ' is far above threshold ' || {fx('threshold', 2)}"),
-    ("score < 0.6 AND score >= threshold", 1, f"'model score ' || {fx('score', 2)} || ' above threshold ' || {fx('threshold', 2)}"),
-    ("new_acct AND dev_users >= 2", 2.5, "'device ' || device_id || ' is new to this account and shared by ' || dev_users || ' accounts'"),
-    ("new_acct AND dev_users < 2", 1, f"'device ' || device_id || ' never seen on this account before (device age ' || {fx('dev_age', 1)} || ' days)'"),
-    ("confirmed > 0", 2, "'device has ' || confirmed || ' confirmed fraud transactions'"),
-    ("n1 >= 4", 1.5, "n1 || ' transactions in the previous hour'"),
-    ("small >= 3", 1.5, "small || ' sub-Rs100 transactions in the previous hour (card testing pattern)'"),
-    ("med > 0 AND amount > 3 * med", 1, f"'amount Rs' || {grp('amount')} || ' is ' || {fx('amount / med', 1)} || 'x the account''s 2-week median Rs' || {grp('med')}"),
-    ("speed > 500", 2, f"'implied travel speed ' || {fx('speed', 0)} || ' km/h since previous transaction'"),
-    ("country <> 'IN'", 1.5, "'international transaction in ' || city || ', ' || country"),
-    ("risk >= 0.2 OR coalesce(rate > 0.05, false)", 1, f"'merchant category ' || coalesce(mcat, 'None') || ' is high risk (prior ' || {fx('risk', 2)} || ', confirmed rate ' || coalesce(rate::varchar, 'None') || ')'"),
-    ("coalesce(share >= 0.6, false)", 1, f"{pct('share')} || ' of the most similar resolved cases were fraud'"),
-    ("(hh < 5 OR hh >= 23) AND nights = 0", 0.5, "'transaction at ' || substr(\"when\", 12, 5) || ' IST; no night activity in the account''s history'"),
-    ("travel_min IS NOT NULL AND (home_city IS NULL OR city <> home_city) AND country = 'IN'", -2.5, f"'travel booking ' || {fx('travel_min / 1440', 0)} || ' days earlier explains purchase in ' || city"),
-    ("electronics > 0 AND new_acct AND dev_users <= 1", -2, "'electronics purchase in the last 3 days on the old device: consistent with a phone upgrade'"),
-    ("NOT new_acct AND dev_age > 30", -1, f"'device has been used on this account for ' || {fx('dev_age', 0)} || ' days'"),
-    ("same_merch > 0", -1, "'merchant already used by this account in the last 2 weeks'"),
-    ("coalesce(share <= 0.2, false)", -1, f"'only ' || {pct('share')} || ' of similar resolved cases were fraud'"),
+    evidence("score_high", "score >= 0.6", **SCORES),
+    evidence("score_above", "score < 0.6 AND score >= threshold", **SCORES),
+    evidence("device_shared", "new_acct AND dev_users >= 2", device="device_id", users="dev_users"),
+    evidence("device_new", "new_acct AND dev_users < 2", device="device_id", age=fx("dev_age", 1)),
+    evidence("device_fraud", "confirmed > 0", n="confirmed"),
+    evidence("burst", "n1 >= 4", n="n1"),
+    evidence("small_burst", "small >= 3", n="small"),
+    evidence("amount_high", "med > 0 AND amount > 3 * med", amount=grp("amount"),
+             times=fx("amount / med", 1), median=grp("med")),
+    evidence("speed", "speed > 500", speed=fx("speed", 0)),
+    evidence("foreign", "country <> 'IN'", city="city", country="country"),
+    evidence("category", "risk >= 0.2 OR coalesce(rate > 0.05, false)",
+             category="coalesce(mcat, 'None')", prior=fx("risk", 2),
+             rate="coalesce(rate::varchar, 'None')"),
+    evidence("similar_fraud", "coalesce(share >= 0.6, false)", share=pct("share")),
+    evidence("night", "(hh < 5 OR hh >= 23) AND nights = 0", time='substr("when", 12, 5)'),
+    evidence("travel", "travel_min IS NOT NULL AND (home_city IS NULL OR city <> home_city)"
+             " AND country = 'IN'", days=fx("travel_min / 1440", 0), city="city"),
+    evidence("upgrade", "electronics > 0 AND new_acct AND dev_users <= 1"),
+    evidence("device_known", "NOT new_acct AND dev_age > 30", days=fx("dev_age", 0)),
+    evidence("merchant_known", "same_merch > 0"),
+    evidence("similar_legit", "coalesce(share <= 0.2, false)", share=pct("share")),
 ]
+SUMMARY = filled(
+    D.SUMMARY,
+    txn="txn_id",
+    amount=grp("amount"),
+    category="coalesce(mcat, 'unknown')",
+    score=fx("score", 2),
+    points=f"CASE WHEN points >= 0 THEN '+' ELSE '-' END || {fx('abs(points)', 1)}",
+    signals=f"CASE WHEN len(texts) = 0 THEN '{D.NO_SIGNAL}'"
+    " ELSE array_to_string(list_slice(texts, 1, 3), '; ') END",
+    verdict="verdict",
+    confidence="conf_text",
+    action="replace(recommended_action, '_', ' ')",
+)
 
 
 def scale(points: str, fraud: list, legit: list, review: str, kind: str) -> str:
@@ -206,9 +241,9 @@ CTES: dict[str, str] = {
        epoch_us(ts) // 1000 AS raw_ms, CAST(props->>'$.k' AS int) AS k FROM events""",
     "x": """SELECT *, raw_ms - raw_ms % 21600000 + (raw_ms % 21600000) // 12 AS ts_ms,
        (k * 3 + event_id % 7) % 40 AS mkey FROM base""",
-    "y": """SELECT x.*, c.c_nationkey AS home_idx,
-       CASE WHEN k IN (13, 14) THEN (c.c_nationkey + 7) % 25 ELSE c.c_nationkey END AS city_idx
-       FROM x JOIN customer c ON c.c_custkey = x.acct""",
+    "y": """SELECT *, CASE WHEN k IN (13, 14) THEN (home_idx + 7) % 25 ELSE home_idx END AS city_idx
+       FROM (SELECT x.*, coalesce(c.c_nationkey, x.acct % 25) AS home_idx
+       FROM x LEFT JOIN customer c ON c.c_custkey = x.acct)""",
     "txn": f"""SELECT concat('T', lpad(CAST(event_id AS varchar), 9, '0')) AS txn_id, ts_ms,
        concat('U', lpad(CAST(acct AS varchar), 6, '0')) AS user_id,
        concat('M', lpad(CAST(mkey AS varchar), 5, '0')) AS merchant_id,
@@ -432,15 +467,8 @@ CTES: dict[str, str] = {
          AS recommended_action,
        concat('case_', substr(md5(concat(txn_id, '|lin-v1')), 1, 10)) AS case_id FROM verdicts""",
     "told": f"""SELECT *, array_to_string(list_slice(CASE WHEN len(texts) = 0 THEN
-         ['model score ' || {fx('score', 2)}] ELSE texts END, 1, 8), ' | ') AS key_evidence,
-       substr('Transaction ' || txn_id || ' of Rs' || {grp('amount')} || ' at a '
-         || coalesce(mcat, 'unknown') || ' merchant scored ' || {fx('score', 2)}
-         || '. Evidence points: ' || CASE WHEN points >= 0 THEN '+' ELSE '-' END
-         || {fx('abs(points)', 1)} || '. Strongest signals: '
-         || CASE WHEN len(texts) = 0 THEN 'none beyond the model score'
-            ELSE array_to_string(list_slice(texts, 1, 3), '; ') END
-         || '. Verdict ' || verdict || ' (' || conf_text || '); recommended action: '
-         || replace(recommended_action, '_', ' ') || '.', 1, 1200) AS analyst_summary
+         [{filled(D.ONLY_SCORE, score=fx('score', 2))}] ELSE texts END, 1, 8), ' | ')
+         AS key_evidence, substr({SUMMARY}, 1, 1200) AS analyst_summary
        FROM typed""",
     "cases": """SELECT txn_id, is_fraud, fraud_type, context, score, amount,
        CASE WHEN is_fraud THEN fraud_type ELSE concat('legit:', context) END AS stratum

@@ -35,7 +35,8 @@ class Tables:
 
 
 def transactions(events: DataFrame, customer: DataFrame) -> DataFrame:
-    """Works on a batch or a streaming ``events`` frame; the session zone must be UTC."""
+    """Works on a batch or a streaming ``events`` frame; the session zone must be UTC. Events of
+    an account that is no customer stay; their city is dealt by the account number."""
     k = F.get_json_object("props", "$.k").cast("int")
     raw_ms = F.expr("unix_micros(CAST(ts AS timestamp)) div 1000")
     base = events.select(
@@ -51,7 +52,8 @@ def transactions(events: DataFrame, customer: DataFrame) -> DataFrame:
     )
     moved = F.col("k").isin(13, 14)
     x = (
-        base.join(accounts, "acct")
+        base.join(accounts, "acct", "left")
+        .withColumn("home_idx", F.coalesce("home_idx", (F.col("acct") % 25).cast("int")))
         .withColumn(
             "ts_ms",
             F.expr(f"raw_ms - raw_ms % {SLOT_MS} + (raw_ms % {SLOT_MS}) div 12"),

@@ -9,7 +9,7 @@ from fraudspark.schemas import MERCHANT, TRANSACTION, USER  # noqa: E402
 from fraudspark.session import build  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
-T0 = 1_780_272_000_000  # 2026-06-01 00:00 UTC
+T0 = 1_730_678_400_000  # Monday, 2024-11-04 00:00 UTC
 DAY = 86_400_000
 
 
@@ -46,9 +46,9 @@ def txn(i, ts_ms, amount, **kw):
         "device_id": "D1",
         "channel": "UPI",
         "amount": float(amount),
-        "city": "Delhi",
-        "lat": 28.6,
-        "lon": 77.2,
+        "city": "Nagpur",
+        "lat": 21.0,
+        "lon": 79.0,
         "country": "IN",
         "is_online": False,
         "is_fraud": False,
@@ -67,12 +67,12 @@ def frame(spark, rows):
 @pytest.fixture(scope="session")
 def users(spark):
     return spark.createDataFrame(
-        [("U1", "Delhi", 28.6, 77.2, T0 - 400 * DAY, 1.0)], USER
+        [("U1", "Nagpur", 21.0, 79.0, T0 - 250 * DAY, 1.0)], USER
     )
 
 
 @pytest.fixture(scope="session")
 def merchants(spark):
     return spark.createDataFrame(
-        [("M1", "grocery", "Delhi", "IN", False, T0 - 900 * DAY, 0.02)], MERCHANT
+        [("M1", "grocery", "Nagpur", "IN", False, T0 - 120 * DAY, 0.02)], MERCHANT
     )

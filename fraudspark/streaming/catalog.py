@@ -3,6 +3,7 @@ stream wrote. The SQL side is the same as for the batch form of the query."""
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -118,16 +119,37 @@ def scored_stream(x: Ctx) -> J.Sinks:
     return sinks
 
 
-DECISION_SQL = f"""SELECT txn_id, user_id, merchant_id, device_id, amount, score,
-   score >= {CHAMPION.threshold} AS flagged, '{CHAMPION.version}' AS model_version FROM scored"""
+DECISION_SQL = f"""SELECT s.txn_id, s.user_id, s.merchant_id, s.device_id, s.amount, s.score,
+   s.score >= {CHAMPION.threshold} AS flagged, '{CHAMPION.version}' AS model_version,
+   t.ts_ms AS event_ms, t.merchant_category AS category, t.channel, t.city, t.country, t.lat, t.lon,
+   t.is_online AS online, s.amount_z, s.speed_kmh, s.device_user_count,
+   {S.DECISION_TTL_DAYS} AS days_kept, true AS scored_in_run
+   FROM scored s JOIN txn t ON t.txn_id = s.txn_id"""
 
 
-@query("sink_decisions", DECISION_SQL, ["amount", "score"])
+@query(
+    "sink_decisions",
+    DECISION_SQL,
+    ["amount", "score", "lat", "lon", "amount_z", "speed_kmh", "device_user_count"],
+)
 def _(x: Ctx):
+    """Decision rows, read back with the event and the features they were made from."""
+    start = F.lit(int(time.time() * 1000))
     d = x.spark.read.parquet(scored_stream(x).decisions)
-    return d.select(
-        "txn_id", "user_id", "merchant_id", "device_id", "amount", "score", "flagged",
-        "model_version",
+    txn = F.from_json("txn", "ts double, " + ", ".join(
+        f"{f.name} {f.dataType.simpleString()}" for f in S.TRANSACTION.fields
+        if f.name in S.WIRE_COLUMNS and f.name != "ts_ms"
+    ))
+    made = F.from_json("features", ", ".join(f"{f} double" for f in S.FEATURES))
+    return d.withColumns({"event": txn, "made": made}).select(
+        "event.txn_id", "event.user_id", "event.merchant_id", "event.device_id", "event.amount",
+        "score", "flagged", "model_version",
+        F.round(c("event.ts") * 1000).cast("long").alias("event_ms"),
+        c("event.merchant_category").alias("category"), "event.channel", "event.city",
+        "event.country", "event.lat", "event.lon", c("event.is_online").alias("online"),
+        "made.amount_z", "made.speed_kmh", "made.device_user_count",
+        F.expr(f"(expires_ms - scored_ms) div {S.DAY_MS}").alias("days_kept"),
+        c("scored_ms").between(start, F.unix_millis(F.current_timestamp())).alias("scored_in_run"),
     )
 
 

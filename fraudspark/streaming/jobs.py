@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from fraudspark.operators import validate as V
 from fraudspark.operators.features import feature_columns, with_reference
 from fraudspark.operators.scoring import LinearModel, batch_score, flagged_queue
-from fraudspark.schemas import FEATURES, WIRE_COLUMNS
+from fraudspark.schemas import DAY_MS, DECISION_TTL_DAYS, FEATURES, WIRE_COLUMNS
 from fraudspark.sources import adapter
 from fraudspark.sources.staging import new_path
 from fraudspark.sources.tables import feature_log_rows, with_day_hour
@@ -21,7 +21,7 @@ from fraudspark.streaming.state import with_device_state, with_user_state
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 TXN_COLUMNS = [
-    "merchant_id", "device_id", "merchant_category", "channel", "city", "country"
+    "merchant_id", "device_id", "merchant_category", "channel", "city", "lat", "lon", "country"
 ]
 
 
@@ -110,6 +110,28 @@ def write_batch(rows: DataFrame, path: str, batch_id: int, *partition: str) -> N
     writer.parquet(f"{path}/batch_id={batch_id}")
 
 
+def decision_rows(scored: DataFrame, model: LinearModel) -> DataFrame:
+    """Decisions as they are kept: with the event and its features as they were scored, as JSON,
+    the time of scoring, and the time after which the row may go."""
+    event = [
+        (F.col("ts_ms") / 1000.0).alias("ts") if n == "ts_ms"
+        else (F.col(n) > 0).alias(n) if n == "is_online"
+        else F.col(n)
+        for n in WIRE_COLUMNS
+    ]
+    scored_ms = F.unix_millis(F.current_timestamp())
+    rows = scored.withColumns(
+        {
+            "txn": F.to_json(F.struct(*event)),
+            "features": F.to_json(F.struct(*FEATURES)),
+            "scored_ms": scored_ms,
+            "expires_ms": scored_ms + DECISION_TTL_DAYS * DAY_MS,
+        }
+    )
+    keep = ["merchant_id", "device_id", "amount", "txn", "features", "scored_ms", "expires_ms"]
+    return batch_score(rows, model, keep=keep)
+
+
 def score_batch_writer(
     sinks: Sinks, promotions_path: str, models: dict[str, LinearModel]
 ) -> Callable[[DataFrame, int], None]:
@@ -121,8 +143,7 @@ def score_batch_writer(
         batch = batch.persist()
         try:
             model = current_champion(spark.read.parquet(promotions_path), models)
-            keep = ["merchant_id", "device_id", "amount"]
-            decisions = batch_score(batch, model, keep=keep)
+            decisions = decision_rows(batch, model)
             write_batch(with_day_hour(decisions).drop("hour"), sinks.decisions, batch_id, "day")
             log = batch.withColumn("score", model.score(batch.columns)).withColumn(
                 "model_version", F.lit(model.version)

@@ -26,7 +26,7 @@ from fraudspark.sources.staging import stage
 SHINGLE, PERCENT, GROUPS = 4, 85, 256
 FULL = 255
 DOCS = 1 << 12
-OFTEN, MOST_OFTEN, COUNTED = 8, 1 << 16, 1 << 20
+OFTEN, MOST_OFTEN, COUNTED = 8, 1 << 18, 1 << 20
 LEAF = 16
 TILE = 512
 BLOCK = 1 << 10
@@ -75,6 +75,11 @@ class Frequent:
     token: np.ndarray
     level: np.ndarray
 
+    @classmethod
+    def counted(cls, token: np.ndarray, c: np.ndarray) -> Frequent:
+        order = np.argsort(token.view(np.uint64))
+        return cls(token.view(np.uint64)[order], np.frexp(c[order].astype(float))[1].astype(np.int8))
+
     def of(self, h: np.ndarray) -> np.ndarray:
         """Level of each token; 0 if it is not frequent."""
         if not len(self.token):
@@ -302,18 +307,31 @@ def block_jobs(rows: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     return whole.union(hot.join(need, ["token", "tile"]).select("token", "x", "y", "tile", "f1"))
 
 
-def _jobs(keys: tuple[str, ...], solve):
-    """Whole jobs, rows of equal keys, one after another; rows come in order of the keys. ``solve``
-    gives pairs of nodes."""
+def _cuts(t: pa.Table, keys: tuple[str, ...]) -> Iterator[tuple[int, int]]:
+    """Bounds of the jobs of more than one row."""
+    at = [t.column(c).to_numpy() for c in keys]
+    cuts = np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in at], axis=0)))
+    for lo, hi in zip(cuts, np.append(cuts[1:], t.num_rows), strict=True):
+        if hi - lo > 1:
+            yield lo, hi
+
+
+def _pairs_of(keys: tuple[str, ...], solve):
+    """Pairs of nodes that ``solve`` gives for each job, each pair once."""
 
     def solved(t: pa.Table) -> pa.RecordBatch:
-        at = [t.column(c).to_numpy() for c in keys]
-        cuts = np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in at], axis=0)))
-        pairs = [solve(t.slice(lo, hi - lo)) for lo, hi in zip(cuts, np.append(cuts[1:], t.num_rows), strict=True) if hi - lo > 1]
+        pairs = [solve(t.slice(lo, hi - lo)) for lo, hi in _cuts(t, keys)]
         a, b = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, np.int64) for i in (0, 1))
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
+    return solved
+
+
+def _jobs(keys: tuple[str, ...], solved):
+    """Whole jobs, rows of equal keys, some at a time; rows come in order of the keys. ``solved``
+    gives what comes of a table of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for b in batches:
@@ -341,7 +359,7 @@ def _blocks(percent: int):
         x, y = tree_join(n, _vectors(t.column("vec").combine_chunks()), comp, percent)
         return node[x], node[y]
 
-    return _jobs(("token",), solve)
+    return _jobs(("token",), _pairs_of(("token",), solve))
 
 
 def _fine(sets: list[np.ndarray]) -> np.ndarray:
@@ -389,19 +407,42 @@ def joining_links(
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
+JOB = ("token", "x", "y")
+
+
+def _side(t: pa.Table) -> np.ndarray | None:
+    """Which of its job's two tiles each row is of; none if the job is of one tile."""
+    first, second = t.column("x")[0].as_py(), t.column("y")[0].as_py()
+    return None if first == second else (t.column("tile").to_numpy() != first).astype(np.int64)
+
+
+def _bounded_jobs(percent: int):
+    """Rows of jobs that are in a pair over the bound: at most as many as came."""
+
+    def solved(t: pa.Table) -> pa.RecordBatch:
+        kept = [np.zeros(0, np.int64)]
+        for lo, hi in _cuts(t, JOB):
+            job = t.slice(lo, hi - lo)
+            n, comp = (job.column(c).to_numpy() for c in ("n", "comp"))
+            x, y = tree_join(n, _vectors(job.column("vec").combine_chunks()), comp, percent, _side(job))
+            kept.append(lo + np.union1d(x, y))
+        rows = t.select([*JOB, "tile", "f1"]).take(pa.array(np.concatenate(kept))).combine_chunks()
+        return pa.RecordBatch.from_arrays([pa.array(c.to_numpy()) for c in rows.columns], names=rows.column_names)
+
+    return _jobs(JOB, solved)
+
+
 def _verified_jobs(percent: int):
     """Links of jobs whose rows carry their sets."""
 
     def solve(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        node, n, comp, tile = (t.column(c).to_numpy() for c in ("node", "n", "comp", "tile"))
-        first, second = t.column("x")[0].as_py(), t.column("y")[0].as_py()
-        side = None if first == second else (tile != first).astype(np.int64)
+        node, n, comp = (t.column(c).to_numpy() for c in ("node", "n", "comp"))
         sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("tokens").combine_chunks()]
         vec = _vectors(t.column("vec").combine_chunks())
-        a, b = joining_links(n, vec, comp, sets, percent, side)
+        a, b = joining_links(n, vec, comp, sets, percent, _side(t))
         return node[a], node[b]
 
-    return _jobs(("token", "x", "y"), solve)
+    return _jobs(JOB, _pairs_of(JOB, solve))
 
 
 def _token_sets(k: int):
@@ -420,15 +461,24 @@ def _token_sets(k: int):
 
 def _block_links(texts: DataFrame, members: DataFrame, of_class: DataFrame, k: int, percent: int, block: int) -> DataFrame:
     """Links of large blocks (token, f1, n, comp), verified in the task that has both sets; a job
-    gives fewer links than it has rows."""
+    gives fewer links than it has rows. Points go by jobs first, and sets, which are far wider, only
+    with the rows that are then in a pair over the bound: most large blocks are chance meetings."""
     jobs = stage(block_jobs(members, percent, block), "block-jobs")
+    jobs = stage(
+        jobs.join(of_class, "f1")
+        .repartition(*JOB)
+        .sortWithinPartitions(*JOB)
+        .select(*JOB, "tile", "f1", "n", "comp", "vec")
+        .mapInArrow(_bounded_jobs(percent), "token long, x long, y long, tile long, f1 long"),
+        "bounded-jobs",
+    )
     nodes = stage(jobs.select("f1").distinct().join(of_class.select("f1", "node"), "f1").select(F.col("node").alias("key")), "large-nodes")
     sets = stage(picked(texts, nodes, "key", "inner").select("key", "text").mapInArrow(_token_sets(k), "node long, tokens binary"), "large-sets")
     rows = jobs.join(of_class, "f1").join(sets, "node")
     return (
-        rows.repartition("token", "x", "y")
-        .sortWithinPartitions("token", "x", "y")
-        .select("token", "x", "y", "tile", "node", "n", "comp", "vec", "tokens")
+        rows.repartition(*JOB)
+        .sortWithinPartitions(*JOB)
+        .select(*JOB, "tile", "node", "n", "comp", "vec", "tokens")
         .mapInArrow(_verified_jobs(percent), "a long, b long")
         .select(F.col("a").alias("u"), F.col("b").alias("v"))
     )
@@ -557,8 +607,9 @@ def similar_documents(
     4. Blocks that are then still in different components go through the tree, which pairs points
        of different components only; tokens with the same classes are one block. In a block of at
        most ``SMALL`` classes, pairs over the bound are named and verified by tiles of texts. A
-       larger one carries its sets, cut into tiles of ``block`` rows that go by pairs (see
-       ``block_jobs``), and gives only the links that join two of its components.
+       larger one carries sets, cut into tiles of ``block`` rows that go by pairs (see
+       ``block_jobs``), and gives only the links that join two of its components; its rows go by
+       their points first, and only those in a pair over the bound carry a set.
     """
     small_batches(docs.sparkSession)
     ids, renamed = keyed(docs, id_col, text_col)
@@ -579,10 +630,9 @@ def similar_documents(
         .where(F.col("c") >= OFTEN)
         .orderBy(F.desc("c"), "token")
         .limit(MOST_OFTEN)  # more would only be taken in the order of the others
-        .collect()
+        .toArrow()
     )
-    rows = np.array(sorted((r.token, r.c.bit_length()) for r in rows), np.int64).reshape(-1, 2)
-    often = Frequent(rows[:, 0].astype(np.uint64), rows[:, 1])
+    often = Frequent.counted(rows.column("token").to_numpy(), rows.column("c").to_numpy())
     tokens = only.mapInArrow(_tokens(shingle, percent, often), "token long, f long")
     shared = stage(
         tokens.groupBy("token")

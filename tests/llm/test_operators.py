@@ -485,6 +485,28 @@ def test_families_under_and_over_the_threshold(spark, monkeypatch, small, block)
     assert [got[i].component_id for i in range(len(texts))] == comp
 
 
+def test_sets_go_with_rows_of_a_pair_over_the_bound_only(spark, monkeypatch):
+    """120 texts share a passage, which makes large blocks, and are else apart but for one pair."""
+    r = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(20))
+    texts = [passage + " " + " ".join(f"n{r.randrange(10**6)}" for _ in range(40)) for _ in range(120)]
+    texts.append(texts[50] + " other")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = {}
+
+    def counted(table, name, real=jaccard.stage):
+        out = real(table, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "stage", counted)
+    monkeypatch.setattr(jaccard, "OFTEN", 10**6)  # else the passage is no block, as all have it
+    got = by_id(jaccard.similar_documents(df, 4, 85))
+    assert rows["block-jobs"] > 100
+    assert rows["large-sets"] <= 4
+    assert [got[i].component_id for i in range(121)] == [*range(120), 50]
+
+
 def test_licences_of_rows_that_share_an_id(spark):
     mit, apache = "Licensed under the MIT License.", "Licensed under the Apache License, Version 2.0."
     rows = [(1, mit), (1, apache), (None, "a plain text"), (None, mit)]

@@ -3,9 +3,10 @@
 A file of payloads may be larger than a micro-batch may be, and Spark's file source takes files
 whole. So arriving files are dealt into chunks first: lines are numbered over all new files (by
 time and name of the file, block, and line), from counts per block and without a sort of the lines,
-and written once, by chunk. Chunks are then released to the folder that the stream reads, one at a
-time, the next one when the stream has taken the last. A micro-batch thus holds the rows of one
-chunk, and a key that fills a file is met in several batches, in the order of its lines.
+and written once, by chunk. Chunks are then moved to the folder that the stream reads, one at a
+time, the next one when the stream has taken the last, and out of it again, so that the stream never
+lists more than one. A micro-batch thus holds the rows of one chunk, and a key that fills a file is
+met in several batches, in the order of its lines.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from fraudspark.sources import commits as C
 from fraudspark.sources.staging import stage
 
 CHUNK_ROWS = 1_000_000
@@ -53,6 +55,10 @@ class Admission:
     def released(self) -> str:
         return f"{self.root}/released"
 
+    @property
+    def done(self) -> str:
+        return f"{self.root}/done"
+
     def take_in(self, path: str) -> None:
         """Deals files that have come since the last call. A file is taken in once; each call that
         is repeated after a failure writes the same chunks again."""
@@ -73,9 +79,16 @@ class Admission:
         )
 
     def waiting(self) -> list[tuple[int, int]]:
-        """Chunks in order; one row a chunk comes to the driver."""
-        rows = self.spark.read.option("basePath", self.spool).schema("data string, place long, batch_id int, chunk long").parquet(f"{self.spool}/*")
-        return sorted((r["batch_id"], r["chunk"]) for r in rows.select("batch_id", "chunk").distinct().collect())
+        """Chunks in order, those that have been fed included; one name a chunk comes to the driver."""
+        found = {
+            (int(b.partition("=")[2]), int(c.partition("=")[2]))
+            for b in C.names(self.spark, self.spool) if b.startswith("batch_id=")
+            for c in C.names(self.spark, f"{self.spool}/{b}") if c.startswith("chunk=")
+        }
+        for folder in (self.released, self.done):
+            fed = [x.partition("=")[2].split("-") for x in C.names(self.spark, folder)]
+            found |= {(int(batch_id), int(chunk)) for batch_id, chunk in fed}
+        return sorted(found)
 
     def stream(self) -> DataFrame:
         """Released payloads: ``data`` and its ``place`` in its intake."""
@@ -83,14 +96,20 @@ class Admission:
 
     def feed(self, start: Callable[[DataFrame], StreamingQuery]) -> int:
         """Starts a query over the stream and releases all chunks to it in order; gives their
-        number. A chunk that an earlier call has released is not written again."""
+        number. A chunk that an earlier call has released is not released again."""
         chunks = self.waiting()
+        fed = set(C.names(self.spark, self.done))
         query = start(self.stream())
         try:
             for batch_id, chunk in chunks:
-                rows = self.spark.read.schema("data string, place long").parquet(f"{self.spool}/batch_id={batch_id}/chunk={chunk}")
-                rows.write.mode("ignore").parquet(f"{self.released}/batch={batch_id}-{chunk}")
+                name = f"batch={batch_id}-{chunk}"
+                if name in fed:
+                    continue
+                if not C.exists(self.spark, f"{self.released}/{name}"):
+                    C.move(self.spark, f"{self.spool}/batch_id={batch_id}/chunk={chunk}", f"{self.released}/{name}")
                 query.processAllAvailable()
+                # what is taken is in the query's log: it is read no more
+                C.move(self.spark, f"{self.released}/{name}", f"{self.done}/{name}")
         finally:
             query.stop()
         if query.exception() is not None:

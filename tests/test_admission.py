@@ -50,3 +50,34 @@ def test_a_hot_device_in_one_file_is_met_in_several_batches(spark, tmp_path):
 def test_chunks_need_rows(spark, tmp_path):
     with pytest.raises(ValueError):
         Admission(spark, str(tmp_path), rows=0)
+
+
+def test_a_record_is_parsed_once(spark):
+    raw = spark.createDataFrame([(payload(txn(1, T0, 10)),), ("no payload",), (None,)], "data string")
+    checked = J.checked_stream(raw)
+    plan = J.good_rows(checked)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+    assert J.good_rows(checked).count() == 1 and checked.count() == 3
+
+
+def test_the_stream_never_lists_more_than_one_chunk(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.txt").write_text("\n".join(payload(txn(i, T0 + i, 10)) for i in range(40)))
+    admission = Admission(spark, str(tmp_path / "admission"), rows=10)
+    admission.take_in(str(src))
+    listed, out = [], str(tmp_path / "out")
+
+    def write(batch, batch_id):
+        listed.append(len(list((tmp_path / "admission" / "released").glob("batch=*"))))
+        J.write_batch(batch, out, batch_id)
+
+    def start(stream):
+        good = J.good_rows(J.checked_stream(stream))
+        return good.writeStream.option("checkpointLocation", f"{out}-state").foreachBatch(write).start()
+
+    assert admission.feed(start) == 4
+    assert listed == [1, 1, 1, 1]
+    assert admission.waiting() == [(0, 0), (0, 1), (0, 2), (0, 3)]
+    assert admission.feed(start) == 4
+    assert listed == [1, 1, 1, 1] and spark.read.parquet(out).count() == 40
